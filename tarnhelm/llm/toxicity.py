@@ -1,11 +1,13 @@
 """Operator 6: toxic passages by maximum-scoring segment search.
 
-A word's score is its log-odds between toxic and clean training documents, both smoothed
-with a Dirichlet prior in the proportions of all training words.  Words whose log-odds
-differ from zero by ``min_z`` standard deviations keep their score; every other word gets
-the (negative) log ratio of what is left of either distribution.  A text is scanned once,
-in linear time, for all its maximal segments: the disjoint runs of words whose score no
-shorter or longer run beats.
+A word's score is its log-odds between toxic and clean training documents (in how many of
+them it occurs), both smoothed with a Dirichlet prior in the proportions of all training
+documents.  Words whose log-odds are ``min_delta`` from zero at least, and ``min_z`` standard
+deviations, keep their score.  A word that doesn't takes that of its surest run of five
+characters (of the word between boundary marks), so that inflected forms count; every word
+without any gets the (negative) log ratio of what is left of either distribution.  A text
+is scanned once, in linear time, for all its maximal segments: the disjoint runs of words
+whose score no shorter or longer run beats.
 
 Segments are calibrated as extreme values.  With ``rate`` the root of E[exp(rate * s)] = 1
 over clean words and ``k`` fitted to the best segments of clean documents, a segment of
@@ -45,10 +47,33 @@ MAX_WORDS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 
 
+GRAM, MARK = 5, "~"  # a run of characters is kept as the mark (never in a word) and the run
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def grams_of(word: str) -> list[str]:
+    w = f"^{word}$"
+    return [MARK + w[i : i + GRAM] for i in range(len(w) - GRAM + 1)]
+
+
+class _Scores(dict):
+    """Word to score (None: no score of its own); what it works out it keeps, up to a bound."""
+
+    def __init__(self, table: dict[str, tuple[float, float]]):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, word: str) -> float | None:
+        hit = self.table.get(word) or max((x for g in grams_of(word) if (x := self.table.get(g))), key=lambda x: abs(x[1]), default=None)
+        if len(self) > 400_000:
+            self.clear()
+        out = self[word] = hit[0] if hit else None
+        return out
+
+
 def maximal_segments(at: Sequence[int], scores: Sequence[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last + 1, score), in linear time.
 
@@ -85,9 +110,10 @@ def maximal_segments(at: Sequence[int], scores: Sequence[float], drift: float) -
 
 @dataclass(frozen=True)
 class Model:
-    """``scores`` by word, the drift of every other word, the extreme-value fit and the logistic curve."""
+    """``scores``: (log-odds, z) by word or run of characters; the drift of every other word, the
+    extreme-value fit and the logistic curve."""
 
-    scores: dict[str, float]
+    scores: dict[str, tuple[float, float]]
     drift: float
     rate: float
     k: float
@@ -96,8 +122,8 @@ class Model:
     e_value: float = 0.5
 
     def segments(self, text: str) -> tuple[int, list[str], list[tuple[int, int, float]]]:
-        words, get = words_of(text), self.scores.get
-        hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
+        words = words_of(text)
+        hits = [(i, s) for i, s in enumerate(map(_memory(self.scores).__getitem__, words)) if s is not None]
         return len(words), words, maximal_segments([i for i, _ in hits], [s for _, s in hits], self.drift)
 
     def significant(self, n: int, segments) -> list[tuple[int, int, float]]:
@@ -120,8 +146,18 @@ class Model:
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
+_LAST: list = [None, None]
+
+
+def _memory(table: dict) -> _Scores:
+    """One in a worker, for the model at hand."""
+    if _LAST[0] is not table:
+        _LAST[:] = [table, _Scores(table)]
+    return _LAST[1]
+
+
 def _counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, clean) token counts; counted in each task first."""
+    """(word, toxic, clean): documents of either class with the word or run; counted in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -137,8 +173,10 @@ def _counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 for t, y in zip(texts_of(part.column(0)), part.column(1).to_pylist()):
-                    seen[y].update(words_of(t))
-                if len(seen[0]) + len(seen[1]) > 200_000:
+                    words = set(words_of(t))
+                    seen[y].update(words)
+                    seen[y].update({g for w in words for g in grams_of(w)})
+                if len(seen[0]) + len(seen[1]) > 400_000:
                     yield from out()
         yield from out()
 
@@ -172,7 +210,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, prior: float = 500.0, min_z: float = 3.0, max_words: int = MAX_WORDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, prior: float = 0.01, min_z: float = 2.3, min_delta: float = 3.0, max_words: int = MAX_WORDS) -> Model:
     """Learn from labelled rows that are not held out.  The sampled ids are broadcast: 2 * per_class at most."""
     marks = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     marks = marks.groupBy(F.col(doc_id).cast("bigint").alias("doc_id")).agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
@@ -182,23 +220,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = saved(base.join(F.broadcast(chosen), "doc_id").select("text", "y"), "labelled")
     counts = saved(_counts(rows), "word-odds")
-    n = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
-    nt, nc = n["t"] or 0, n["c"] or 0
+    # documents of either class, as the number of chances a word has to occur
+    size = rows.groupBy("y").count().collect()
+    nt, nc = (float(next((r["count"] for r in size if r["y"] == y), 0)) for y in (1, 0))
     if not nt or not nc:
         return Model({}, 1.0, 1.0, 1.0)
-    alpha = prior * (F.col("toxic") + F.col("clean")) / (nt + nc)
-    t, c = F.col("toxic") + alpha, F.col("clean") + alpha
-    delta = F.log(t / (nt + prior - t)) - F.log(c / (nc + prior - c))
-    odds = counts.select("word", "toxic", "clean", delta.alias("delta"), (delta / F.sqrt(1 / t + 1 / c)).alias("z")).filter(F.abs("z") >= min_z)
+    alpha = prior * (F.col("toxic") + F.col("clean"))  # of prior * (nt + nc) imagined documents of each class
+    t, c, more = F.col("toxic") + alpha, F.col("clean") + alpha, prior * (nt + nc)
+    delta = F.log(t / (nt + more - t + 1)) - F.log(c / (nc + more - c + 1))
+    odds = counts.select("word", "toxic", "clean", delta.alias("delta"), (delta / F.sqrt(1 / t + 1 / c)).alias("z"))
+    odds = odds.filter((F.abs("z") >= min_z) & (F.abs("delta") >= min_delta))
     table = odds.orderBy(F.desc(F.abs(F.col("z"))), "word").limit(max_words).collect()
     if not table:
         return Model({}, 1.0, 1.0, 1.0)
-    delta = np.clip(np.array([r["delta"] for r in table]), -3, 8)
-    qt, qc = (sum(r[x] for r in table) / m for x, m in (("toxic", nt), ("clean", nc)))
-    drift = max(-math.log(max(1 - qt, 1e-3) / max(1 - qc, 1e-3)), 0.01)
-    p = np.array([*[r["clean"] / nc for r in table], max(1 - qc, 0.0)])
-    rate = _root(p / p.sum(), np.array([*delta, -drift]))
-    model = Model({r["word"]: float(d) for r, d in zip(table, delta)}, drift, rate, 1.0)
+    scores = {r["word"]: (min(max(r["delta"], -3.0), 8.0), r["z"]) for r in table}
+
+    def masses(batches):
+        memory = _Scores(scores)
+        for batch in batches:
+            out: Counter = Counter()
+            for x, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+                hits = [memory[w] for w in words_of(x)]
+                out.update((y, s) for s in hits)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int64()), pa.array([s for _, s in out], pa.float64()), pa.array(list(out.values()), pa.int64())], names=["y", "s", "n"])
+
+    # a row for each class and score: bounded by max_words
+    mass = rows.mapInArrow(masses, "y bigint, s double, n bigint").groupBy("y", "s").agg(F.sum("n").alias("n")).collect()
+    words_in = {y: sum(r["n"] for r in mass if r["y"] == y) or 1 for y in (0, 1)}
+    rest = {y: max(sum(r["n"] for r in mass if r["y"] == y and r["s"] is None) / words_in[y], 1e-3) for y in (0, 1)}
+    drift = max(-math.log(rest[1] / rest[0]), 0.01)
+    p = np.array([r["n"] / words_in[0] for r in mass if r["y"] == 0])
+    s = np.array([-drift if r["s"] is None else r["s"] for r in mass if r["y"] == 0])
+    # scores are log ratios, for which the rate is 1; clean words that never score leave it there
+    rate = min(_root(p / p.sum(), s), 1.0) if len(p) and (s > 0).any() else 1.0
+    model = Model(scores, drift, rate, 1.0)
 
     def best(batches):
         for batch in batches:
