@@ -5,7 +5,8 @@ bring them close to the corners of the cube (iterative quantisation); signs of t
 coordinates are balanced codes.  A code's bits are cut into substrings, one table each; two
 vectors meet in a table when they share its substring and their label.  The number of
 tables is calibrated so that vectors exactly at the threshold meet in one of them with
-probability ``recall`` at least, measured on simulated partners of the fitted vectors.
+probability ``recall`` at least, measured on simulated partners of fitted vectors and on
+the close pairs among them.
 Every meeting is reranked with the original vectors, in double precision: no pair below
 the threshold is ever linked.
 
@@ -36,6 +37,7 @@ FIT_ROWS, RECALL, BLOCK = 20_000, 0.9995, 2048
 def learn_rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = 30) -> np.ndarray:
     """Rotation that brings centred rows close to cube corners: signs and rotation by turns."""
     r = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
+    x = x[:4000]  # enough to settle a rotation
     for _ in range(rounds):
         u, _, vt = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
         r = (u @ vt).T
@@ -48,32 +50,37 @@ class Codes:
     def __init__(self, x: np.ndarray, threshold: float, bits: int, recall: float, seed: int = 0, most: int = 128):
         rng = np.random.default_rng(seed)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        self.mean, self.bits = x.mean(0), bits
-        axes = np.linalg.svd(x - self.mean, full_matrices=False)[2]
-        spread = ((x - self.mean) @ axes.T).std(0)
-        axes = axes[spread > 1e-9] if (spread > 1e-9).any() else np.eye(x.shape[1])[:1]
-        # partners at exactly the threshold, in random directions
+        self.bits, self.tables, dim = bits, 0, x.shape[1]
+        axes = np.linalg.svd(x - x.mean(0), full_matrices=len(x) < dim)[2]
+        # partners at exactly the threshold in random directions, and the sample's own close pairs
         probe = x[rng.choice(len(x), min(len(x), 2000), replace=False)]
         away = rng.standard_normal(probe.shape)
         away -= (away * probe).sum(1, keepdims=True) * probe
         away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
         partner = threshold * probe + math.sqrt(max(0.0, 1 - threshold**2)) * away
-        met, maps, self.tables, per = np.zeros(len(probe), bool), [], 0, max(1, len(axes) // bits)
-        while self.tables < most and met.mean() < recall:
-            r = axes.T @ learn_rotation((x - self.mean) @ axes.T, rng)
-            width = min(bits, r.shape[1])
-            for t in range(per):
-                maps.append(r[:, t * width : (t + 1) * width])
-                same = ((probe - self.mean) @ maps[-1] >= 0) == ((partner - self.mean) @ maps[-1] >= 0)
-                met |= same.all(1)
+        i, j = np.nonzero(np.triu(probe @ probe.T >= threshold, 1))
+        pick = rng.choice(len(i), min(len(i), 20_000), replace=False)
+        pairs = [(probe, partner), (probe[i[pick]], probe[j[pick]])]
+        met = [np.zeros(len(a), bool) for a, _ in pairs]
+        maps, offsets = [], []
+        while self.tables < most and any(m.mean() < recall for m in met if len(m)):
+            # by turns around the mean, which balances the codes, and around the origin
+            middle = x.mean(0) if len(maps) // max(1, dim // bits) % 2 == 0 else np.zeros(dim)
+            r = axes.T @ learn_rotation((x - middle) @ axes.T, rng)
+            for t in range(max(1, dim // bits)):
+                m = r[:, t * bits : (t + 1) * bits]
+                maps.append(m)
+                offsets.append(middle @ m)
+                for seen, (p, q) in zip(met, pairs):
+                    seen |= ((p @ m >= offsets[-1]) == (q @ m >= offsets[-1])).all(1)
                 self.tables += 1
-        self.map = np.concatenate([np.pad(m, ((0, 0), (0, bits - m.shape[1]))) for m in maps], axis=1)
-        self.recall = float(met.mean())
+        self.map, self.offset = np.concatenate(maps, axis=1), np.concatenate(offsets)
+        self.recall = min(float(m.mean()) for m in met if len(m))
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """One substring a table, as numbers."""
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        on = ((u - self.mean) @ self.map >= 0).reshape(len(x), self.tables, self.bits)
+        on = (u @ self.map >= self.offset).reshape(len(x), self.tables, self.bits)
         return (on * (1 << np.arange(self.bits))).sum(2).astype(np.int32)
 
 

@@ -117,7 +117,7 @@ class Model:
     drift: float
     rate: float
     k: float
-    intercept: float = -30.0
+    intercept: float = -1000.0
     slope: float = 0.0
     e_value: float = 0.5
 
