@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnhelm.llm.bpe import Bpe, Encoder, bpe_of
-from tarnhelm.llm.common import add_columns, binary_rows, slices, texts_of
+from tarnhelm.llm.common import add_columns, binary_rows, saved, slices, texts_of
 
 #: Words in the lexicon: a limit on its size, not on what is encoded.
 LEXICON_WORDS = 50_000
 _MAGIC = b"MATL0001"
+#: A worker's encoder for the lexicon at hand.
+_OPEN: dict[str, Encoder] = {}
 
 
 class _State:
@@ -152,10 +154,11 @@ class Lexicon:
         return table[np.repeat(ends[row] - out[:-1], lens) + np.arange(out[-1])], out
 
 
-def word_counts(docs: DataFrame, text: str, tokenizer: str, flush: int = 300_000) -> DataFrame:
+def word_counts(docs: DataFrame, text: str, tokenizer: str, flush: int = 100_000) -> DataFrame:
     """(word BINARY, n) over all texts; counted in each task first, in bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _OPEN.clear()  # what an earlier encoding remembers would lie idle here
         bpe, seen = bpe_of(tokenizer), Counter()
 
         def out():
@@ -177,23 +180,32 @@ def word_counts(docs: DataFrame, text: str, tokenizer: str, flush: int = 300_000
 
 
 def build_lexicon(docs: DataFrame, text: str, tokenizer: str, size: int = LEXICON_WORDS) -> str:
-    """Compile the most frequent words of the corpus and hand the file to the executors; returns its name."""
+    """Compile the most frequent words of the corpus and hand the file to the executors; returns its name.
+
+    Counts fall into steps of a 32nd of a doubling; the highest steps that together have at
+    most ``size`` words are taken, so only those words come to the driver.
+    """
     spark = docs.sparkSession
-    top = word_counts(docs, text, tokenizer).orderBy(F.desc("n"), "word").limit(size).collect()
+    step = F.floor(F.log2("n") * 32)
+    counts = saved(word_counts(docs, text, tokenizer).filter("n > 1").withColumn("step", step), "word-counts")
+    least, total = None, 0
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 32 a doubling: some 2000 at most
+        total += r["count"]
+        if total > size:
+            break
+        least = r["step"]
+    top = [] if least is None else counts.filter(F.col("step") >= least).select("word").collect()
     folder, name = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-")), f"lexicon-{uuid.uuid4().hex}.bin"
     compile_lexicon([bytes(r["word"]) for r in top], bpe_of(tokenizer), os.path.join(folder, name))
     spark.sparkContext.addFile(os.path.join(folder, name))
     return name
 
 
-_OPEN: dict[str, Encoder] = {}
-
-
 def _encoder(tokenizer: str, name: str) -> Encoder:
     if name not in _OPEN:
         _OPEN.clear()
         bpe, lexicon = bpe_of(tokenizer), Lexicon(SparkFiles.get(name))
-        _OPEN[name] = Encoder(bpe, resolve=lambda words: lexicon.resolve(words, bpe))
+        _OPEN[name] = Encoder(bpe, remember=120_000, resolve=lambda words: lexicon.resolve(words, bpe))
     return _OPEN[name]
 
 
