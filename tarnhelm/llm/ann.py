@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tarnhelm.llm.common import partitions, saved
 from tarnhelm.llm.vectors import dimension, exact_scores, matrix, sample, usable
 
-FIT_ROWS, CALIBRATE, RECALL = 20_000, 128, 0.97
+FIT_ROWS, CALIBRATE, RECALL = 20_000, 256, 0.95
 BLOCK, CHUNK = 4096, 1024
 
 
@@ -113,33 +113,80 @@ def _flat(q: np.ndarray) -> np.ndarray:
     return np.concatenate([q, np.zeros((len(q), 1))], axis=1)
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query: ids and scores of its k best rows of a block, its own id excluded, ties to the smaller id."""
-    rough = q @ c.T
-    for i in range(len(q)):
-        s = np.where(c_ids == q_ids[i], -np.inf, rough[i])
-        if len(s) > k:
-            edge = np.partition(s, len(s) - k)[len(s) - k]
-            pick = np.flatnonzero(s >= edge - 1e-9 * (1 + abs(edge)) if np.isfinite(edge) else s > -np.inf)
-        else:
-            pick = np.flatnonzero(s > -np.inf)
-        exact = exact_scores(q[i], c[pick]) if len(pick) else np.zeros(0)
-        order = np.lexsort((c_ids[pick], -exact))[:k]
-        yield c_ids[pick][order], exact[order]
-
+def _first(group: np.ndarray, k: int) -> np.ndarray:
+    """Which places of a sorted array are among the first k of their value."""
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    return np.arange(len(group)) - np.repeat(start, np.diff([*start, len(group)])) < k
 
-_FOUND = pa.list_(pa.struct([("neg", pa.float64()), ("id", pa.int64())]))
-_FOUND_SQL = "array<struct<neg:double,id:bigint>>"
 
+def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block, the k best rows for each query: (query's place, row's place, score), its own id excluded, ties to the smaller id."""
+    rough = q @ c.T
+    rough[q_ids[:, None] == c_ids[None, :]] = -np.inf
+    near = rough > -np.inf
+    if len(c) > k:
+        edge = np.partition(rough, len(c) - k, axis=1)[:, len(c) - k]
+        near &= rough >= np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), -np.inf)[:, None]
+    i, j = np.nonzero(near)
+    s = exact_scores(q[i], c[j])
+    order = np.lexsort((c_ids[j], -s, i))
+    i, j, s = i[order], j[order], s[order]
+    keep = _first(i, k)
+    return i[keep], j[keep], s[keep]
+
+
+class _Best:
+    """The k best found so far for each query, of distinct (id, score) pairs."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size = k, [], 0
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+        self.size += len(part[0])
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, i, s = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        new = np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1]) | (s[1:] != s[:-1])])[: len(q)]
+        q, i, s = q[new], i[new], s[new]
+        keep = _first(q, self.k)
+        self.parts = [(q[keep], i[keep], s[keep])]
+        self.size = int(keep.sum())
+        return self.parts[0]
+
+
+def _merged(batches, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (query_id, vec_id, score) sorted by query: the k best of each, ranked."""
+    best = _Best(k)
+    for last, b in _with_last(batches):
+        if b.num_rows:
+            best.add(*(c.to_numpy() for c in b.columns))
+        q, i, s = best.settle()
+        done = np.ones(len(q), bool) if last else q < q[-1] if len(q) else np.zeros(0, bool)
+        if done.any():
+            start = np.searchsorted(q[done], q[done])
+            yield pa.RecordBatch.from_arrays([pa.array(q[done]), pa.array((np.arange(len(start)) - start + 1).astype(np.int32)), pa.array(i[done]), pa.array(s[done])], names=["query_id", "rank", "vec_id", "score"])
+        best.parts = [(q[~done], i[~done], s[~done])]
+
+
+def _with_last(batches):
+    held = None
+    for b in batches:
+        if held is not None:
+            yield False, held
+        held = b
+    if held is not None:
+        yield True, held
 
-def _found(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    ids, scores = (np.concatenate(x) for x in zip(*parts))
-    bounds = np.concatenate([[0], np.cumsum([len(i) for i, _ in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(-scores), pa.array(ids)], names=["neg", "id"]))
 
+def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding", leaf_size: int = 512, fit_rows: int = FIT_ROWS, calibrate: int = CALIBRATE, recall: float = RECALL, branching: int = 16) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest rows of ``df`` found for each row of ``queries`` (default: all).
 
-def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding", leaf_rows: int = 64, fit_rows: int = FIT_ROWS, calibrate: int = CALIBRATE, recall: float = RECALL, branching: int = 16) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest rows of ``df`` found for each row of ``queries`` (default: all)."""
+    Leaves hold about ``leaf_size`` rows as long as the fitted rows allow (8 of them at least)."""
     spark = df.sparkSession
     tidy = lambda x: x.filter(usable(F.col(vec)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     base, asked = tidy(df), tidy(df if queries is None else queries)
@@ -150,7 +197,8 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vec_id:
     base, asked = base.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
     fitted = sample(base, "v", fit_rows, "id")
     square = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()["m"]
-    tree = Tree(_lift(fitted, square), leaf_rows, branching)
+    share = len(fitted) / max(base.count(), 1)
+    tree = Tree(_lift(fitted, square), max(8, round(leaf_size * share)), branching)
     shared = spark.sparkContext.broadcast(tree)
 
     def file(batches):
@@ -187,16 +235,28 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vec_id:
     met = left.union(right).repartition(n, "leaf", "block", "chunk").sortWithinPartitions("leaf", "block", "chunk", "asks", "id")
 
     def meet(batches):
+        best = _Best(k)
+
+        def out():
+            q, i, s = best.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
+            best.parts, best.size = [], 0
+
         for unit_rows in _units(batches):
             asks = unit_rows.column(3).to_numpy(zero_copy_only=False)
             ids, vs = unit_rows.column(4).to_numpy(), matrix(unit_rows.column(5))
             q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
             if len(q) and len(c):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), _found(list(best_of(vs[q], ids[q], vs[c], ids[c], k)))], names=["query_id", "found"])
+                i, j, s = best_of(vs[q], ids[q], vs[c], ids[c], k)
+                best.add(ids[q][i], ids[c][j], s)
+            if best.size > 400_000:
+                best.settle()
+                if best.size > 200_000:
+                    yield from out()
+        yield from out()
 
-    found = met.mapInArrow(meet, f"query_id bigint, found {_FOUND_SQL}")
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
-    return merged.select("query_id", F.posexplode("found").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.neg")).alias("score"))
+    found = met.mapInArrow(meet, "query_id bigint, vec_id bigint, score double")
+    return found.repartition(n, "query_id").sortWithinPartitions("query_id").mapInArrow(lambda batches: _merged(batches, k), "query_id bigint, rank int, vec_id bigint, score double")
 
 
 def _units(batches) -> Iterator[pa.RecordBatch]:
@@ -230,11 +290,8 @@ def _calibrated(filed: DataFrame, asked: DataFrame, tree: Tree, k: int, calibrat
         for b in batches:
             if b.num_rows:
                 c_ids, leaf = b.column(0).to_numpy(), b.column(2).to_numpy()
-                best = list(best_of(qs, ids, matrix(b.column(1)), c_ids, k))
-                order = np.argsort(c_ids, kind="stable")
-                leaves = [leaf[order[np.searchsorted(c_ids, x, sorter=order)]] for x, _ in best]
-                n = [len(x) for x, _ in best]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([s for _, s in best])), pa.array(np.concatenate(leaves))], names=["q", "s", "leaf"])
+                i, j, s = best_of(qs, ids, matrix(b.column(1)), c_ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(s), pa.array(leaf[j])], names=["q", "s", "leaf"])
 
     near = filed.mapInArrow(blocks, "q bigint, s double, leaf bigint")
     top = near.groupBy("q").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("s", "leaf")))), 1, k).alias("t"))
