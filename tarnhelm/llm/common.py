@@ -140,3 +140,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError("components did not settle")
     own = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own)
+
+
+def units(batches: Iterable[pa.RecordBatch], key: str = "unit") -> Iterator[pa.RecordBatch]:
+    """Batches that are sorted by ``key``, cut where it changes; one unit is held at a time."""
+    rest: pa.RecordBatch | None = None
+    for b in batches:
+        if rest is not None and rest.num_rows:
+            b = pa.concat_batches([rest, b])
+        if not b.num_rows:
+            continue
+        value = b.column(b.schema.get_field_index(key)).to_numpy()
+        cuts = np.flatnonzero(value[1:] != value[:-1]) + 1
+        for a, z in zip([0, *cuts[:-1]], cuts):
+            yield b.slice(a, z - a)
+        rest = b.slice(cuts[-1] if len(cuts) else 0)
+    if rest is not None and rest.num_rows:
+        yield rest

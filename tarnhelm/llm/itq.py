@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnhelm.llm.common import components, partitions, saved
+from tarnhelm.llm.common import components, partitions, saved, units
 from tarnhelm.llm.vectors import dimension, exact_scores, matrix, sample, usable
 
 FIT_ROWS, RECALL, BLOCK = 20_000, 0.9995, 2048
@@ -154,11 +154,11 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vec: st
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     placed = spots.join(sizes, bucket).withColumn("own", own)
     duos = placed.select("row", *bucket, "own", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("o"))
-    units = duos.select("row", "t", F.xxhash64(*bucket, F.least("own", "o"), F.greatest("own", "o")).alias("unit"), "own", (F.col("own") == F.col("o")).alias("alone"))
-    met = units.join(filed.select("row", "v", "keys", "size"), "row").repartition(n, "unit").sortWithinPartitions("unit", "own", "row")
+    placed = duos.select("row", "t", F.xxhash64(*bucket, F.least("own", "o"), F.greatest("own", "o")).alias("unit"), "own", (F.col("own") == F.col("o")).alias("alone"))
+    met = placed.join(filed.select("row", "v", "keys", "size"), "row").repartition(n, "unit").sortWithinPartitions("unit", "own", "row")
 
     def meet(batches):
-        for u in _units(batches):
+        for u in units(batches):
             t, alone = u.column("t")[0].as_py(), u.column("alone")[0].as_py()
             row, own_b, size = (u.column(c).to_numpy() for c in ("row", "own", "size"))
             x = matrix(u.column("v"))
@@ -190,19 +190,3 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vec: st
     out = rows.select("row", "id").join(named, "row", "left")
     cid = F.coalesce("first", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), cid.alias("component_id"), cid.eqNullSafe(F.col("id")).alias("kept"))
-
-
-def _units(batches):
-    rest: pa.RecordBatch | None = None
-    for b in batches:
-        if rest is not None and rest.num_rows:
-            b = pa.concat_batches([rest, b])
-        if not b.num_rows:
-            continue
-        unit = b.column("unit").to_numpy()
-        cuts = np.flatnonzero(unit[1:] != unit[:-1]) + 1
-        for a, z in zip([0, *cuts[:-1]], cuts):
-            yield b.slice(a, z - a)
-        rest = b.slice(cuts[-1] if len(cuts) else 0)
-    if rest is not None and rest.num_rows:
-        yield rest

@@ -13,7 +13,9 @@ neighbours in the order of size within each index entry, and each entry's least
 what it links is already one component.  The second tries every pair of an entry whose two
 sides still are in different components, so components are exact, yet a group of copies
 costs about one test a member.  An upper bound from counts of shingles in 64 classes drops
-most pairs before their sets are fetched; it never drops a link.
+most pairs before their sets are fetched; it never drops a link.  The second round applies
+it where documents of an entry meet, in blocks of bounded size, and lets only the pairs out
+that it allows.
 
 Texts with the same words are one class from the start, and each task indexes a class once.
 
@@ -31,37 +33,39 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnhelm.llm.common import components, mix64, partitions, saved, slices, texts_of
+from tarnhelm.llm.common import components, mix64, partitions, saved, slices, texts_of, units
 from tarnhelm.llm.shingles import blocks, sets_of
 
 #: Entries of the table of counts; its size doesn't grow with the data.
 SKETCH_BITS, SKETCH_CUT = 20, 16
-CLASSES, LONG_PREFIX = 64, 32
+CLASSES, LONG_PREFIX, BLOCK, BROADCAST_IDS = 64, 32, 2048, 1_000_000
 _ONE = np.uint64(1)
 
 
 def _features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, key of each document; and, with ``cut`` set, a task's counts of shingle digests."""
+    """doc_id, n, key and profile (shingles in each of 64 classes) of each document; and, with
+    ``cut`` set, a task's counts of shingle digests."""
 
     def run(batches):
         task, counts = TaskContext.get().partitionId(), np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n", "key", "task", "cut", "counts"]
+        names = ["doc_id", "n", "key", "profile", "task", "cut", "counts"]
         for batch in batches:
             for part in slices(batch, "text"):
-                n, keys = [], []
+                n, keys, prof = [], [], []
                 for some in blocks(texts_of(part.column(1))):
                     sets, key = sets_of(some, k, keyed=True)
                     n += map(len, sets)
                     keys += key
+                    prof += [np.bincount(h >> np.uint64(58), minlength=CLASSES).astype("<i4").tobytes() for h in sets]
                     np.add(counts, np.bincount(np.concatenate(sets) & np.uint64((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32), out=counts)
                 none = pa.nulls(part.num_rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), none, none, pa.nulls(part.num_rows, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prof, pa.binary()), none, none, pa.nulls(part.num_rows, pa.binary())], names=names)
         if counts.any():
             cuts = np.split(counts, 1 << (SKETCH_BITS - SKETCH_CUT))
             m = len(cuts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([task] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array([c.tobytes() for c in cuts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array([task] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array([c.tobytes() for c in cuts], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, task int, cut int, counts binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, profile binary, task int, cut int, counts binary")
 
 
 def _summed(counts: DataFrame) -> np.ndarray:
@@ -143,8 +147,12 @@ def _index(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFra
     return docs.mapInArrow(run, "token bigint, node bigint, size bigint")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """node, n, profile (shingles in each of 64 classes), digests."""
+def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, digests: the whole sets of the given documents.
+
+    The list of nodes is broadcast while it is short (BROADCAST_IDS at most, counted first), so
+    that texts stay where they are; a longer list is joined by a shuffle.
+    """
 
     def run(batches):
         for batch in batches:
@@ -152,29 +160,45 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 at, ids = 0, part.column(0)
                 for some in blocks(texts_of(part.column(1))):
                     sets, _ = sets_of(some, k)
-                    prof = [np.bincount(h >> np.uint64(58), minlength=CLASSES).astype("<i4").tobytes() for h in sets]
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(some)), pa.array([len(h) for h in sets], pa.int64()), pa.array(prof, pa.binary()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], names=["node", "n", "profile", "digests"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(some)), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], names=["node", "digests"])
                     at += len(some)
 
-    return docs.mapInArrow(run, "node bigint, n bigint, profile binary, digests binary")
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
+    return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(run, "node bigint, digests binary")
 
 
 def _close(small: Column, large: Column, percent: int) -> Column:
     return 100 * F.least(small, large) >= percent * F.greatest(small, large)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _possible(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether profiles allow the similarity: an intersection has no more of a class than either set."""
+    most = np.minimum(x, y).sum(-1, dtype=np.int64)
+    return 100 * most >= percent * (x.sum(-1, dtype=np.int64) + y.sum(-1, dtype=np.int64) - most)
+
+
+def _beside(pairs: DataFrame, rows: DataFrame, col: str) -> DataFrame:
+    p = pairs.join(rows.select(F.col("node").alias("a"), F.col(col).alias("x")), "a")
+    return p.join(rows.select(F.col("node").alias("b"), F.col(col).alias("y")), "b").select("a", "b", "x", "y")
+
 
-    def bound(batches):
+def _bounded(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose profiles allow a link."""
+
+    def run(batches):
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<i4").reshape(-1, CLASSES) for i in (2, 3))
-                most = np.minimum(x, y).sum(1)
-                keep = 100 * most >= percent * (x.sum(1) + y.sum(1) - most)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_possible(x, y, percent)))
+
+    return saved(_beside(pairs, profiles, "profile").mapInArrow(run, "a bigint, b bigint").distinct(), "likely")
 
-    def verify(batches):
+
+def _verified(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+
+    def run(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
@@ -184,13 +208,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if keep:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    def both(p: DataFrame, col: str) -> DataFrame:
-        s = sets.select("node", col)
-        p = p.join(s.select(F.col("node").alias("a"), F.col(col).alias("x")), "a")
-        return p.join(s.select(F.col("node").alias("b"), F.col(col).alias("y")), "b").select("a", "b", "x", "y")
+    nodes = saved(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "nodes")
+    sets = saved(_sets(docs, nodes, k), "sets", "none")
+    return saved(_beside(likely, sets, "digests").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+
 
-    likely = saved(both(pairs, "profile").mapInArrow(bound, "a bigint, b bigint"), "likely")
-    return saved(both(likely, "digests").mapInArrow(verify, "a bigint, b bigint").distinct(), "links")
+def _across(inside: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one index entry in different components that the bound allows.
+
+    An entry's documents are compared in blocks of BLOCK: a document goes to every pair of
+    blocks that holds its own, so a unit of work is bounded and only allowed pairs leave it.
+    """
+    n = partitions(inside.sparkSession)
+    sizes = inside.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = inside.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("token", "node", "size", "comp", "main", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    rows = rows.select("node", "size", "comp", "main", "own", (F.col("own") == F.col("o")).alias("alone"), F.xxhash64("token", F.least("own", "o"), F.greatest("own", "o")).alias("unit"))
+    met = rows.join(profiles, "node").repartition(n, "unit").sortWithinPartitions("unit", "own", "node")
+
+    def run(batches):
+        for u in units(batches):
+            node, size, comp, main, own = (u.column(c).to_numpy() for c in ("node", "size", "comp", "main", "own"))
+            p = np.frombuffer(b"".join(u.column("profile").to_pylist()), "<i4").reshape(-1, CLASSES)
+            p = p.astype(np.int16) if p.max(initial=0) < 1 << 15 else p
+            half = len(node) if u.column("alone")[0].as_py() else int(np.searchsorted(own, own[-1]))
+            sides = [(slice(0, half), slice(0, half))] if half == len(node) else [(slice(0, half), slice(half, None)), (slice(half, None), slice(0, half))]
+            for left, right in sides:
+                minor = np.flatnonzero(comp[left] != main[left])  # one of two components isn't the main one
+                for at in range(0, len(minor), 64):
+                    i = minor[at : at + 64] + (left.start or 0)
+                    ok = (comp[i][:, None] != comp[right][None, :]) & (100 * np.minimum(size[i][:, None], size[right][None, :]) >= percent * np.maximum(size[i][:, None], size[right][None, :]))
+                    cols = np.flatnonzero(ok.any(0))
+                    if len(cols):
+                        ok = ok[:, cols]
+                        ok &= _possible(p[i][:, None, :], p[right][cols][None, :, :], percent)
+                        x, y = np.nonzero(ok)
+                        a, b = node[i[x]], node[right][cols[y]]
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,9 +273,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id",
     heads = saved(heads.select("token", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "heads")
     star = pair(entries.join(heads, "token").filter(_close(F.col("head_size"), F.col("size"), percent)), "head", "node")
     tried = saved(chain.union(star).distinct(), "tried")
-    nodes = entries.select(F.col("node").alias("doc_id")).distinct()
-    sets = saved(_sets(docs.join(nodes, "doc_id", "left_semi"), k), "sets", "none")
-    links = _verified(tried, sets, percent)
+    profiles = saved(first.filter("cut IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "profile").distinct(), "profiles")
+    links = _verified(_bounded(tried, profiles, percent), docs, k, percent)
 
     # pairs of an entry that are not in one component yet
     so_far = saved(components(links.union(copies)).withColumnRenamed("component", "comp"), "so-far")
@@ -228,10 +284,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id",
     mixed = per.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("token", "main")
     mixed = saved(mixed, "mixed")
     inside = saved(placed.join(mixed, "token"), "inside")
-    minor = inside.filter("comp <> main").select("token", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
-    more = inside.join(minor, "token").filter("comp <> comp2").filter(_close(F.col("size"), F.col("size2"), percent))
-    more = saved(pair(more, "node", "node2").distinct().join(tried, ["a", "b"], "left_anti"), "more")
-    links = links.union(_verified(more, sets, percent))
+    more = saved(_across(inside, profiles, percent).join(tried, ["a", "b"], "left_anti"), "more")
+    links = links.union(_verified(more, docs, k, percent))
     comps = components(links.union(copies)).withColumnRenamed("node", "doc_id")
     out = features.join(comps, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
