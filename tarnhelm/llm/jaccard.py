@@ -56,7 +56,7 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
                     sets, key = sets_of(some, k, keyed=True)
                     n += map(len, sets)
                     keys += key
-                    prof += [np.bincount(h >> np.uint64(58), minlength=CLASSES).astype("<i4").tobytes() for h in sets]
+                    prof += map(_profile, sets)
                     np.add(counts, np.bincount(np.concatenate(sets) & np.uint64((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32), out=counts)
                 none = pa.nulls(part.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prof, pa.binary()), none, none, pa.nulls(part.num_rows, pa.binary())], names=names)
@@ -172,10 +172,25 @@ def _close(small: Column, large: Column, percent: int) -> Column:
     return 100 * F.least(small, large) >= percent * F.greatest(small, large)
 
 
-def _possible(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether profiles allow the similarity: an intersection has no more of a class than either set."""
+def _profile(h: np.ndarray) -> bytes:
+    """A set's size and its counts in each class, in one byte each: rounded up to a multiple of the scale."""
+    c = np.bincount(h >> np.uint64(58), minlength=CLASSES)
+    scale = max(1, -(-int(c.max()) // 255))
+    return np.array([scale, len(h)], "<u4").tobytes() + (-(-c // scale)).astype("u1").tobytes()
+
+
+def _profiles(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (a row a set) and sizes."""
+    x = np.frombuffer(b"".join(raw), "u1").reshape(-1, CLASSES + 8)
+    head = np.ascontiguousarray(x[:, :8]).view("<u4")
+    counts = x[:, 8:].astype(np.int32) * head[:, :1].astype(np.int32)
+    return counts.astype(np.int16) if counts.max(initial=0) < 1 << 15 else counts, head[:, 1].astype(np.int64)
+
+
+def _possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether profiles of sets of n and m allow the similarity: an intersection has no more of a class than either set."""
     most = np.minimum(x, y).sum(-1, dtype=np.int64)
-    return 100 * most >= percent * (x.sum(-1, dtype=np.int64) + y.sum(-1, dtype=np.int64) - most)
+    return 100 * most >= percent * (n + m - most)
 
 
 def _beside(pairs: DataFrame, rows: DataFrame, col: str) -> DataFrame:
@@ -189,8 +204,8 @@ def _bounded(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<i4").reshape(-1, CLASSES) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_possible(x, y, percent)))
+                (x, n), (y, m) = (_profiles(b.column(i).to_pylist()) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_possible(x, y, n, m, percent)))
 
     return saved(_beside(pairs, profiles, "profile").mapInArrow(run, "a bigint, b bigint").distinct(), "likely")
 
@@ -229,8 +244,7 @@ def _across(inside: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for u in units(batches):
             node, size, comp, main, own = (u.column(c).to_numpy() for c in ("node", "size", "comp", "main", "own"))
-            p = np.frombuffer(b"".join(u.column("profile").to_pylist()), "<i4").reshape(-1, CLASSES)
-            p = p.astype(np.int16) if p.max(initial=0) < 1 << 15 else p
+            p, true = _profiles(u.column("profile").to_pylist())
             half = len(node) if u.column("alone")[0].as_py() else int(np.searchsorted(own, own[-1]))
             sides = [(slice(0, half), slice(0, half))] if half == len(node) else [(slice(0, half), slice(half, None)), (slice(half, None), slice(0, half))]
             for left, right in sides:
@@ -241,7 +255,7 @@ def _across(inside: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
                     cols = np.flatnonzero(ok.any(0))
                     if len(cols):
                         ok = ok[:, cols]
-                        ok &= _possible(p[i][:, None, :], p[right][cols][None, :, :], percent)
+                        ok &= _possible(p[i][:, None, :], p[right][cols][None, :, :], true[i][:, None], true[right][cols][None, :], percent)
                         x, y = np.nonzero(ok)
                         a, b = node[i[x]], node[right][cols[y]]
                         if len(a):
