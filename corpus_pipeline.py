@@ -31,7 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Kept documents in sequences of at most 2048 tokens."""
-    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # executors have grown in the stages before: a smaller memory of words here
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=200_000)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 

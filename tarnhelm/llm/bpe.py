@@ -18,7 +18,7 @@ from itertools import islice
 
 import numpy as np
 
-from tarnhelm.llm.common import gather
+from tarnhelm.llm.common import gather, kept
 
 #: Letters and numbers below U+0180, where Unicode versions agree; other texts take the library's own rules.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
@@ -263,7 +263,7 @@ class Encoder:
 
 
 _BPES: dict[str, Bpe] = {}
-_ENCODERS: dict[str, Encoder] = {}
+REMEMBER = 600_000
 
 
 def bpe_of(path: str) -> Bpe:
@@ -273,7 +273,9 @@ def bpe_of(path: str) -> Bpe:
     return _BPES[path]
 
 
-def encoder_of(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(bpe_of(path))
-    return _ENCODERS[path]
+def encoder_of(path: str, remember: int = REMEMBER) -> Encoder:
+    mine = kept("encoder")
+    if (path, remember) not in mine:
+        mine.clear()
+        mine[path, remember] = Encoder(bpe_of(path), remember)
+    return mine[path, remember]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -16,6 +17,20 @@ from tarnhelm.session import scratch_path
 SLICE_ROWS, SLICE_BYTES = 4096, 4 << 20
 
 
+_KEPT: list = [None, {}]
+
+
+def kept(owner: str) -> dict:
+    """What a Python worker remembers between tasks for one operator; another operator's is let go first."""
+    if _KEPT[0] != owner:
+        _KEPT[:] = [owner, {}]
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: memory goes back when it likes
+    return _KEPT[1]
+
+
 def fresh(df: DataFrame | Iterable[str], base: str) -> str:
     """A column name that the frame doesn't have (names compare without case)."""
     taken = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnhelm.llm.common import components, mix64, partitions, saved, slices, texts_of, units
+from tarnhelm.llm.common import components, kept, mix64, partitions, saved, slices, texts_of, units
 from tarnhelm.llm.shingles import blocks, sets_of
 
 #: Entries of the table of counts; its size doesn't grow with the data.
@@ -47,6 +47,7 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
     ``cut`` set, a task's counts of shingle digests."""
 
     def run(batches):
+        kept("shingles")  # another operator's memory would lie idle
         task, counts = TaskContext.get().partitionId(), np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["doc_id", "n", "key", "profile", "task", "cut", "counts"]
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnhelm.llm.common import add_columns, saved, slices, texts_of
+from tarnhelm.llm.common import add_columns, kept, saved, slices, texts_of
 from tarnhelm.llm.training import held_out, sampled
 
 PER_LANG, MAX_WORDS, MAX_GRAMS, LONGEST = 2_000, 10_000, 4_000, 4
@@ -165,11 +165,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return add_columns(docs, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
 
 
-_LAST: list = [None, None]
-
-
 def _model(parts) -> Model:
     """One in a worker: what it has worked out about words stays between tasks."""
-    if _LAST[0] is not parts:
-        _LAST[:] = [parts, Model(*parts)]
-    return _LAST[1]
+    mine = kept("langid")
+    if mine.get("parts") is not parts:
+        mine.update(parts=parts, model=Model(*parts))
+    return mine["model"]

@@ -28,13 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnhelm.llm.bpe import Bpe, Encoder, bpe_of
-from tarnhelm.llm.common import add_columns, binary_rows, saved, slices, texts_of
+from tarnhelm.llm.common import add_columns, binary_rows, kept, saved, slices, texts_of
 
 #: Words in the lexicon: a limit on its size, not on what is encoded.
 LEXICON_WORDS = 50_000
 _MAGIC = b"MATL0001"
-#: A worker's encoder for the lexicon at hand.
-_OPEN: dict[str, Encoder] = {}
 
 
 class _State:
@@ -158,7 +156,7 @@ def word_counts(docs: DataFrame, text: str, tokenizer: str, flush: int = 100_000
     """(word BINARY, n) over all texts; counted in each task first, in bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _OPEN.clear()  # what an earlier encoding remembers would lie idle here
+        kept("words")  # what an earlier encoding remembers would lie idle here
         bpe, seen = bpe_of(tokenizer), Counter()
 
         def out():
@@ -202,11 +200,12 @@ def build_lexicon(docs: DataFrame, text: str, tokenizer: str, size: int = LEXICO
 
 
 def _encoder(tokenizer: str, name: str) -> Encoder:
-    if name not in _OPEN:
-        _OPEN.clear()
+    mine = kept("lexicon")
+    if name not in mine:
+        mine.clear()
         bpe, lexicon = bpe_of(tokenizer), Lexicon(SparkFiles.get(name))
-        _OPEN[name] = Encoder(bpe, remember=120_000, resolve=lambda words: lexicon.resolve(words, bpe))
-    return _OPEN[name]
+        mine[name] = Encoder(bpe, remember=120_000, resolve=lambda words: lexicon.resolve(words, bpe))
+    return mine[name]
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", lexicon: str | None = None, size: int = LEXICON_WORDS) -> DataFrame:

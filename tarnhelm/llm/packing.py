@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnhelm.llm.bpe import encoder_of
+from tarnhelm.llm.bpe import REMEMBER, encoder_of
 from tarnhelm.llm.common import binary_rows, partitions, saved, slices, texts_of
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", remember: int = REMEMBER) -> DataFrame:
     """doc_id, piece, start, length, ids: every text's ids and the end id, cut only if longer than the capacity."""
 
     def run(batches):
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, remember)
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, bounds = encoder.encode(texts_of(part.column(1)))
@@ -144,9 +144,11 @@ def place(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
     return rank.mapInArrow(run, "row bigint, sequence_id bigint, offset bigint")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids, sequence_id, offset for every piece."""
-    pieces = saved(pieces_of(docs, tokenizer, capacity, end_id, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "pieces")
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", remember: int = REMEMBER) -> DataFrame:
+    """doc_id, piece, start, length, ids, sequence_id, offset for every piece.
+
+    ``remember``: words that a worker keeps the ids of; memory against speed, never results."""
+    pieces = saved(pieces_of(docs, tokenizer, capacity, end_id, doc_id, text, remember).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pieces.join(place(pieces, capacity), "row").drop("row")
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnhelm.llm.common import add_columns, saved, slices, texts_of
+from tarnhelm.llm.common import add_columns, kept, saved, slices, texts_of
 from tarnhelm.llm.training import held_out, sampled
 
 PER_CLASS = 20_000
@@ -146,14 +146,12 @@ class Model:
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-_LAST: list = [None, None]
-
-
 def _memory(table: dict) -> _Scores:
     """One in a worker, for the model at hand."""
-    if _LAST[0] is not table:
-        _LAST[:] = [table, _Scores(table)]
-    return _LAST[1]
+    mine = kept("toxicity")
+    if mine.get("table") is not table:
+        mine.update(table=table, scores=_Scores(table))
+    return mine["scores"]
 
 
 def _counts(rows: DataFrame) -> DataFrame:
