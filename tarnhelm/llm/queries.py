@@ -66,4 +66,30 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_store, op3_ann, op4_itq, op5_packing, op6_toxicity, op7_sharding, op8_langid, op9_jaccard, op10_warc)}
-ORACLES: dict[str, str] = {}
+
+_REACH = """reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)"""
+
+ORACLES: dict[str, str] = {
+    "op4_itq": f"""
+        WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND NOT list_contains(list_transform(e, lambda x: x IS NULL OR NOT isfinite(x)), true) AND list_dot_product(e, e) > 0),
+        link AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.label AND x.id <> y.id
+                 WHERE list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.93),
+        nodes AS (SELECT id FROM v), {_REACH},
+        n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT reach.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(reach.b) AS component_id, reach.a = min(reach.b) AS kept
+        FROM reach LEFT JOIN n ON n.a = reach.a GROUP BY reach.a""",
+    "op9_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        t AS (SELECT id, len(s) AS n, unnest(s) AS t FROM s),
+        duo AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS c FROM t x JOIN t y ON x.t = y.t AND x.id <> y.id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY x.id, y.id),
+        link AS (SELECT a, b FROM duo WHERE 100 * c >= 90 * (n + m - c)),
+        nodes AS (SELECT id FROM s), {_REACH}
+        SELECT s.id AS doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(reach.b) AS component_id FROM s JOIN reach ON reach.a = s.id GROUP BY s.id, s.s""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT *, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM q""",
+}
