@@ -15,7 +15,10 @@ sides still are in different components, so components are exact, yet a group of
 costs about one test a member.  An upper bound from counts of shingles in 64 classes drops
 most pairs before their sets are fetched; it never drops a link.  The second round applies
 it where documents of an entry meet, in blocks of bounded size, and lets only the pairs out
-that it allows.
+that it allows.  A pair leaves from the largest entry that it shares: each document brings
+a short list of its largest entries, and a pair whose lists share an entry before the one
+at hand is left to that one.  Pairs that share none of the listed ones may leave more than
+once, never less.
 
 Texts with the same words are one class from the start, and each task indexes a class once.
 
@@ -39,6 +42,8 @@ from tarnhelm.llm.shingles import blocks, sets_of
 #: Entries of the table of counts; its size doesn't grow with the data.
 SKETCH_BITS, SKETCH_CUT = 20, 16
 CLASSES, LONG_PREFIX, BLOCK, BROADCAST_IDS = 64, 32, 2048, 1_000_000
+#: Entries that a document lists, and how many documents make an entry worth listing.
+LISTED, LISTED_FROM = 16, 16
 _ONE = np.uint64(1)
 
 
@@ -229,36 +234,67 @@ def _verified(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return saved(_beside(likely, sets, "digests").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
+def _padded(lists: pa.ListArray) -> np.ndarray:
+    """Lists of at most LISTED entries as rows; gaps differ from every row's entries and gaps."""
+    offsets, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+    lens = np.diff(offsets)
+    out, used = np.zeros((len(lens), LISTED), np.int64), np.arange(LISTED) < lens[:, None]
+    out[used] = np.unique(flat, return_inverse=True)[1] + 1
+    out[~used] = -1 - np.arange(np.count_nonzero(~used))
+    return out
+
+
+def _met_before(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of two padded tables, pair by pair, share an entry."""
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), 16_384):
+        part = slice(at, at + 16_384)
+        out[part] = (x[part, :, None] == y[part, None, :]).any((1, 2))
+    return out
+
+
 def _across(inside: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of one index entry in different components that the bound allows.
 
     An entry's documents are compared in blocks of BLOCK: a document goes to every pair of
     blocks that holds its own, so a unit of work is bounded and only allowed pairs leave it.
+    ``before`` has a document's listed entries that come before the entry at hand (the order:
+    larger first, as counted in column ``c``, then by token); two documents that share one of them have met there.
     """
     n = partitions(inside.sparkSession)
-    sizes = inside.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = inside.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select("token", "node", "size", "comp", "main", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    rows = rows.select("node", "size", "comp", "main", "own", (F.col("own") == F.col("o")).alias("alone"), F.xxhash64("token", F.least("own", "o"), F.greatest("own", "o")).alias("unit"))
-    met = rows.join(profiles, "node").repartition(n, "unit").sortWithinPartitions("unit", "own", "node")
+    sized = inside.withColumn("entry", F.struct((-F.col("c")).alias("c"), "token"))
+    # a document's entries are at most the tokens of its own prefix
+    lists = sized.filter(F.col("c") >= LISTED_FROM).groupBy("node").agg(F.slice(F.sort_array(F.collect_set("entry")), 1, LISTED).alias("listed")).filter(F.size("listed") > 1)
+    rows = sized.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("token", "node", "size", "comp", "main", "own", "entry", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    rows = rows.select("node", "size", "comp", "main", "own", "entry", (F.col("own") == F.col("o")).alias("alone"), F.xxhash64("token", F.least("own", "o"), F.greatest("own", "o")).alias("unit"))
+    rows = rows.join(profiles, "node").join(lists, "node", "left")
+    earlier = F.transform(F.filter("listed", lambda e: e < F.col("entry")), lambda e: e["token"])
+    rows = rows.select("node", "size", "comp", "main", "own", "alone", "unit", "profile", F.coalesce(earlier, F.array().cast("array<bigint>")).alias("before"))
+    met = rows.repartition(n, "unit").sortWithinPartitions("unit", "own", "node")
 
     def run(batches):
         for u in units(batches):
             node, size, comp, main, own = (u.column(c).to_numpy() for c in ("node", "size", "comp", "main", "own"))
             p, true = _profiles(u.column("profile").to_pylist())
+            before = _padded(u.column("before"))
+            lesser = comp != main  # one of two components isn't the main one
             half = len(node) if u.column("alone")[0].as_py() else int(np.searchsorted(own, own[-1]))
             sides = [(slice(0, half), slice(0, half))] if half == len(node) else [(slice(0, half), slice(half, None)), (slice(half, None), slice(0, half))]
             for left, right in sides:
-                minor = np.flatnonzero(comp[left] != main[left])  # one of two components isn't the main one
+                minor = np.flatnonzero(lesser[left])
+                other = np.arange(len(node))[right]
                 for at in range(0, len(minor), 64):
                     i = minor[at : at + 64] + (left.start or 0)
                     ok = (comp[i][:, None] != comp[right][None, :]) & (100 * np.minimum(size[i][:, None], size[right][None, :]) >= percent * np.maximum(size[i][:, None], size[right][None, :]))
+                    ok &= ~lesser[right][None, :] | (i[:, None] < other[None, :])  # two lesser ones meet once
                     cols = np.flatnonzero(ok.any(0))
                     if len(cols):
                         ok = ok[:, cols]
                         ok &= _possible(p[i][:, None, :], p[right][cols][None, :, :], true[i][:, None], true[right][cols][None, :], percent)
                         x, y = np.nonzero(ok)
-                        a, b = node[i[x]], node[right][cols[y]]
+                        new = ~_met_before(before[i[x]], before[other[cols[y]]])
+                        a, b = node[i[x[new]]], node[other[cols[y[new]]]]
                         if len(a):
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -296,7 +332,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id",
     placed = entries.select("token", "node", "size").join(so_far, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = saved(placed.select("token", "node", "size", "comp").distinct(), "placed")
     per = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("token", "main")
+    mixed = per.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("c")).filter("comps > 1").select("token", "main", "c")
     mixed = saved(mixed, "mixed")
     inside = saved(placed.join(mixed, "token"), "inside")
     more = saved(_across(inside, profiles, percent).join(tried, ["a", "b"], "left_anti"), "more")
