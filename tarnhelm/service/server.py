@@ -2,6 +2,10 @@
 
 Answers are ``{"code", "msg", "data"}``.  Bodies may be JSON or forms.  Every request
 carries a token, opened once; its budget pays for the operators.
+
+An answer holds every row of its result.  Over HTTP the rows pass through a temporary file, a
+partition at a time, so the service's memory doesn't follow their number, and a result that
+fails half way is an error.  With ``max_rows`` a larger result is refused (413), never cut.
 """
 
 from __future__ import annotations
@@ -10,11 +14,14 @@ import datetime as dt
 import decimal
 import json
 import re
+import shutil
+import tempfile
 import threading
+from collections.abc import Callable, Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qsl
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnhelm.operators import relational as R
@@ -48,7 +55,7 @@ def _plain(x):
 class QueryService:
     """``tables`` maps a name to the path of its sealed table."""
 
-    def __init__(self, spark: SparkSession, registry: KeyRegistry, tables: dict[str, str], max_rows: int = 10_000):
+    def __init__(self, spark: SparkSession, registry: KeyRegistry, tables: dict[str, str], max_rows: int | None = None):
         self.spark, self.registry, self.max_rows = spark, registry, max_rows
         self.tables = {k.lower(): v for k, v in tables.items()}
         self._lock = threading.Lock()
@@ -58,7 +65,8 @@ class QueryService:
             "/aggregator": (self._aggregator, ("t", "group_col", "agg_col", "func")),
         }
 
-    def handle(self, path: str, params: dict) -> dict:
+    def handle(self, path: str, params: dict, keep: Callable[[Iterator[dict]], object] = list) -> dict:
+        """The envelope; ``keep`` makes its ``rows`` from a stream of all of them."""
         try:
             if path == "/":
                 return {"code": 200, "msg": "ok", "data": {k: list(v[1]) + ["tk"] for k, v in self._routes.items()}}
@@ -71,8 +79,7 @@ class QueryService:
                 policy = self.registry.open(params["tk"])
                 frame = run(policy, params)
             df, trace = frame.prepare_result()
-            rows = [r.asDict(recursive=True) for r in df.limit(self.max_rows).collect()]
-            return {"code": 200, "msg": "ok", "data": {"rows": rows, "budget": policy.budget, "trace": trace.rows()}}
+            return {"code": 200, "msg": "ok", "data": {"rows": keep(self._rows(df)), "budget": policy.budget, "trace": trace.rows()}}
         except ApiError as e:
             return {"code": e.code, "msg": str(e), "data": None}
         except PolicyError as e:
@@ -80,6 +87,12 @@ class QueryService:
         except Exception as e:  # the engine's own message is the answer
             return {"code": 500, "msg": f"{type(e).__name__}: {str(e)[:500]}", "data": None}
 
+    def _rows(self, df: DataFrame) -> Iterator[dict]:
+        for n, r in enumerate(df.toLocalIterator(prefetchPartitions=True), 1):
+            if self.max_rows is not None and n > self.max_rows:
+                raise ApiError(413, f"the result has more than {self.max_rows} rows")
+            yield r.asDict(recursive=True)
+
     def _scan(self, policy: PolicyContext, name: str) -> GovernedFrame:
         if name.lower() not in self.tables:
             raise ApiError(404, f"no table {name}")
@@ -114,12 +127,35 @@ def serve(service: QueryService, host: str = "127.0.0.1", port: int = 0) -> Thre
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self, body: dict) -> None:
-            raw = json.dumps(body, default=_plain).encode()
-            self.send_response(body["code"])
+            self._send(body["code"], json.dumps(body, default=_plain).encode())
+
+        def _send(self, code: int, *parts) -> None:
+            """Parts are bytes or files."""
+            self.send_response(code)
             self.send_header("Content-Type", "application/json")
-            self.send_header("Content-Length", str(len(raw)))
+            self.send_header("Content-Length", str(sum(len(x) if isinstance(x, bytes) else x.seek(0, 2) for x in parts)))
             self.end_headers()
-            self.wfile.write(raw)
+            for x in parts:
+                if isinstance(x, bytes):
+                    self.wfile.write(x)
+                else:
+                    x.seek(0)
+                    shutil.copyfileobj(x, self.wfile)
+
+        def _run(self, params: dict) -> None:
+            with tempfile.TemporaryFile() as held:
+
+                def keep(rows: Iterator[dict]) -> list:
+                    for i, r in enumerate(rows):
+                        held.write((", " if i else "").encode() + json.dumps(r, default=_plain).encode())
+                    return []
+
+                body = service.handle(self.path, params, keep)
+                data = body["data"]
+                if body["code"] != 200 or "rows" not in data:
+                    return self._answer(body)
+                rest = json.dumps({k: v for k, v in data.items() if k != "rows"}, default=_plain).encode()
+                self._send(200, b'{"code": 200, "msg": %s, "data": {"rows": [' % json.dumps(body["msg"]).encode(), held, b"], " + rest[1:] + b"}")
 
         def do_GET(self):
             self._answer(service.handle(self.path, {}) if self.path == "/" else {"code": 405, "msg": "POST only", "data": None})
@@ -131,7 +167,7 @@ def serve(service: QueryService, host: str = "127.0.0.1", port: int = 0) -> Thre
                 params = json.loads(raw or "{}") if kind == "application/json" else dict(parse_qsl(raw))
             except ValueError:
                 params = None
-            self._answer(service.handle(self.path, params) if isinstance(params, dict) else {"code": 400, "msg": "the body can't be read", "data": None})
+            self._run(params) if isinstance(params, dict) else self._answer({"code": 400, "msg": "the body can't be read", "data": None})
 
         def log_message(self, *args):
             pass
