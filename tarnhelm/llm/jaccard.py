@@ -100,7 +100,7 @@ def prefix_tokens(h: np.ndarray, counts: np.ndarray, frequent: int, percent: int
     n = len(h)
     p = n - -(-percent * n // 100) + 1
     short = p <= LONG_PREFIX  # its frequent shingles are indexed in pairs
-    both = not short or percent * n >= 100 * _longest_short(percent) * percent // 100 or n * percent * percent <= 10_000
+    both = not short or 100 * n >= percent * _least_long(percent) or n * percent * percent <= 10_000
     m = min(n, p + 1)
     freq = counts[h & np.uint64((1 << SKETCH_BITS) - 1)]
     order = (freq << np.uint64(40)) | (h >> np.uint64(24))
@@ -117,8 +117,8 @@ def prefix_tokens(h: np.ndarray, counts: np.ndarray, frequent: int, percent: int
     return np.concatenate(out)
 
 
-def _longest_short(percent: int) -> int:
-    """The largest set size whose prefix is at most LONG_PREFIX."""
+def _least_long(percent: int) -> int:
+    """The least set size whose prefix is longer than LONG_PREFIX."""
     n = 1
     while n - -(-percent * n // 100) + 1 <= LONG_PREFIX and n < 1 << 20:
         n += 1
