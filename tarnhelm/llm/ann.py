@@ -88,13 +88,14 @@ class Tree:
                 node[rows] = a + _nearest(x[rows], self.centers[a : a + self.count[p]])
         return node
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order, ``most`` of them at most."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visit(self, q: np.ndarray, most: int, ids_in: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: ``most`` of them, or more until they hold ``least`` ids."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < least):
             _, i = heapq.heappop(queue)
             if not self.count[i]:
                 out.append(i)
+                held += ids_in.get(i, 0) if ids_in else 0
                 continue
             a = self.first[i]
             d = ((self.centers[a : a + self.count[i]] - q) ** 2).sum(1)
@@ -211,11 +212,13 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vec_id:
 
     # work units: a block of a leaf's rows by a chunk of its visitors
     rows_in = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}
+    # an id counts in one leaf only, so that leaves hold no fewer distinct ids than the sum; one may be the query's own
+    ids_in = {r["leaf"]: r["count"] for r in filed.groupBy("id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect()}
 
     def go(batches):
         for b in batches:
             for i, q in zip(range(b.num_rows), _flat(matrix(b.column(1)))):
-                leaves = [x for x in shared.value.visit(q, visits) if x in rows_in]
+                leaves = [x for x in shared.value.visit(q, visits, ids_in, k + 1) if x in rows_in]
                 one = pa.array(np.full(len(leaves), i))
                 if leaves:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(one), b.column(1).take(one), pa.array(leaves, pa.int64())], names=["id", "v", "leaf"])
