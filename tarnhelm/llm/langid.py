@@ -6,8 +6,8 @@ of those is known by its 3-grams, then 2-grams, then letters.  A text's language
 by the sum over its words; the score is the winner's share after a softmax.
 
 At most ``per_lang`` documents of a language are learned from, and each language keeps its
-``max_words`` commonest words and ``max_grams`` commonest n-grams of each length.  Only the
-text is ever an input of a prediction.
+``max_words`` commonest words and ``max_grams`` commonest n-grams of each length; what one
+language keeps is counted in all of them.  Only the text is ever an input of a prediction.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, and when
 nothing could be learned; ties go to the language first in order; repeated rows are
@@ -135,8 +135,10 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
     items = words.select("lang", F.lit(0).alias("kind"), F.col("word").alias("item"), "n").union(_gram_counts(words))
     total = F.sum("n").over(Window.partitionBy("lang", "kind"))
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    top = items.withColumn("total", total).withColumn("place", place).filter(F.col("place") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams))
-    # at most max_words + LONGEST * max_grams rows a language
+    top = items.withColumn("total", total).withColumn("top", place <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams))
+    # an item that one language keeps brings its counts in the others
+    top = top.withColumn("top", F.max("top").over(Window.partitionBy("kind", "item"))).filter("top")
+    # at most max_words + LONGEST * max_grams items a language, and a row for each item and language
     counts: dict[tuple[int, str], dict[str, int]] = {}
     totals: dict[tuple[str, int], int] = {}
     for r in top.select("lang", "kind", "item", "n", "total").collect():
