@@ -6,7 +6,7 @@ coordinates are balanced codes.  A code's bits are cut into substrings, one tabl
 vectors meet in a table when they share its substring and their label.  The number of
 tables is calibrated so that vectors exactly at the threshold meet in one of them with
 probability ``recall`` at least, measured on simulated partners of fitted vectors and on
-the close pairs among them.
+the close pairs among them; if 2048 tables don't reach it, that is an error.
 Every meeting is reranked with the original vectors, in double precision: no pair below
 the threshold is ever linked.
 
@@ -47,7 +47,7 @@ def learn_rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = 30) ->
 class Codes:
     """Substrings of balanced binary codes; ``bits`` a substring, ``tables`` of them."""
 
-    def __init__(self, x: np.ndarray, threshold: float, bits: int, recall: float, seed: int = 0, most: int = 128):
+    def __init__(self, x: np.ndarray, threshold: float, bits: int, recall: float, seed: int = 0, most: int = 2048):
         rng = np.random.default_rng(seed)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.bits, self.tables, dim = bits, 0, x.shape[1]
@@ -76,6 +76,8 @@ class Codes:
                 self.tables += 1
         self.map, self.offset = np.concatenate(maps, axis=1), np.concatenate(offsets)
         self.recall = min(float(m.mean()) for m in met if len(m))
+        if self.recall < recall:
+            raise ValueError(f"{self.tables} tables of {bits} bits reach a recall of {self.recall:.5f}, not {recall}")
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """One substring a table, as numbers."""
