@@ -40,13 +40,59 @@ def fresh(df: DataFrame | Iterable[str], base: str) -> str:
     return name
 
 
-def saved(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
+def saved(df: DataFrame, what: str, compression: str = "zstd", into: Scratch | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives a lost executor."""
     at = scratch_path(df.sparkSession, what)
+    if into is not None:
+        into.paths.append(at)
     df.write.option("compression", compression).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders through the file system that holds them."""
+    for at in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Intermediate tables of one call; they go when its result is written or it fails."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def saved(self, df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
+        return saved(df, what, compression, self)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        delete(self.spark, *self.paths)
+        self.paths.clear()
+
+
+#: A key is heavy with more rows than total / HEAVY_KEYS, so there are at most that many.
+HEAVY_KEYS, HEAVY_LEAST = 50_000, 256
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key, ``size`` has how many of ``rows`` it meets), hot keys apart.
+
+    Heavy keys are broadcast, HEAVY_KEYS of them at most by construction, and their rows stay
+    where they are; every other key has too few rows to fill a task and is joined by shuffle.
+    ``how`` is inner or left.  Columns: the keys, those of ``rows``, those of ``table``.  Both
+    sides are read more than once: give written tables.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    bound = max(HEAVY_LEAST, total // HEAVY_KEYS)
+    heavy, light = table.filter(F.col(size) > bound), table.filter(F.col(size) <= bound)
+    hot = rows.join(F.broadcast(heavy), on)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
+    return hot.unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -124,37 +170,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, into: Scratch | None = None) -> DataFrame:
     """(node, component) of every node of the links; component is the smallest node reachable.
 
     Alternating large-star and small-star contraction: every round is two aggregations with
-    partial minima and joins on the node; links stay distributed and each round is written to
-    the shared folder.  The number of rounds grows with the logarithm of the longest chain.
+    partial minima and joins on the node, hubs apart; links stay distributed and each round is
+    written to the shared folder.  The number of rounds grows with the logarithm of the longest chain.
     """
     spark = links.sparkSession
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = saved(edges, "links")
-    for _ in range(max_rounds):
-        n = edges.count()
-        if n == 0:
-            break
-        # large star: every larger neighbour of u is linked to the smallest of u and its neighbours
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: every smaller neighbour of u, and u, is linked to the smallest neighbour
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        new = saved(small, "links")
-        # at rest when every node points at its root and no root points further
-        if new.count() == n and new.join(edges, ["u", "v"], "left_anti").isEmpty():
+    with Scratch(spark) as scratch:
+        edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+        edges = scratch.saved(edges, "links")
+        for _ in range(max_rounds):
+            n = edges.count()
+            if n == 0:
+                break
+            # large star: every larger neighbour of u is linked to the smallest of u and its neighbours
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = scratch.saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")), "least")
+            large = spread_join(both, least, "u", "c", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = scratch.saved(large, "large")
+            # small star: every smaller neighbour of u, and u, is linked to the smallest neighbour
+            low = scratch.saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "low")
+            small = spread_join(large, low, "u", "c", n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+            new = scratch.saved(small, "links")
+            # at rest when every node points at its root and no root points further
+            still = new.count() == n and new.join(edges, ["u", "v"], "left_anti").isEmpty()
             edges = new
-            break
-        edges = new
-    else:
-        raise RuntimeError("components did not settle")
-    own = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own)
+            if still:
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        own = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+        return saved(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own), "components", into=into)
 
 
 def units(batches: Iterable[pa.RecordBatch], key: str = "unit") -> Iterator[pa.RecordBatch]:

@@ -1,31 +1,42 @@
 """Operator 9: Jaccard similarity join on word shingles with token-combination prefixes.
 
-Shingles are ordered by frequency, rarest first (by a fixed-size table of counts over all
-documents, then by digest: any order that all documents share gives the same links).  A
-document that links with another shares a shingle with it in a short prefix of that order,
-and two in a prefix that is longer by one.  Rare shingles of the prefix are indexed alone;
-of frequent ones pairs are indexed, from the extended prefix, so that a common line brings
-documents together only with a second one.  (Documents with long prefixes index frequent
-shingles alone too, or else pairs would be too many; sizes that meet both kinds index both.)
+Shingles are ordered by frequency, rarest first (by a table of counts over all documents in
+steps of a 64th of a doubling, then by digest: any order that all documents share gives the
+same links, so the table's fixed size bears on speed alone).  With ``p`` the prefix in which
+a document shares a shingle with every partner, it shares G + 1 of them in a prefix of
+p + G.  That extended prefix is indexed by single shingles first, and how many documents an
+entry really has decides its class.  A rare shingle's entry stays.  Frequent shingles
+(FREQUENT documents or more) go back to their documents, are dealt into G groups by digest,
+and are indexed in pairs inside a group: of G + 1 shared ones two fall into one group.  So
+a common line brings documents together only with a second one.  G grows with the document
+(an eighth of p), which keeps pairs in proportion to the prefix at every length; documents
+near a step of G index for both sides of it.
 
 Documents that meet are verified on their whole sets, in two rounds.  The first tries
 neighbours in the order of size within each index entry, and each entry's least document;
 what it links is already one component.  The second tries every pair of an entry whose two
 sides still are in different components, so components are exact, yet a group of copies
 costs about one test a member.  An upper bound from counts of shingles in 64 classes drops
-most pairs before their sets are fetched; it never drops a link.  The second round applies
+most pairs before their texts are fetched; it never drops a link.  The second round applies
 it where documents of an entry meet, in blocks of bounded size, and lets only the pairs out
 that it allows.  A pair leaves from the largest entry that it shares: each document brings
 a short list of its largest entries, and a pair whose lists share an entry before the one
 at hand is left to that one.  Pairs that share none of the listed ones may leave more than
 once, never less.
 
-Texts with the same words are one class from the start, and each task indexes a class once.
+Texts with the same words are one class from the start, and one document indexes it (one a
+task where copies are more than BROADCAST_IDS).  Entries of shingles with very many
+documents are dealt by salts before they move, joins on hot keys are split, and comparisons
+run in blocks, so no group is gathered in one task.
+
+Sets are of 64-bit digests; two different shingles are taken for one with a probability of
+about 2**-64 (see shingles.py).
 
 Defined results: null texts and texts without words have the empty set and link with
 nothing; rows that repeat an id are one document, which links if any of its rows does; a
-row without an id keeps a null component; an empty table gives an empty table; only the id
-and the text are used.
+row without an id keeps a null component; an empty table gives an empty table; texts of any
+length are read whole, in chunks; columns other than the id and the text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -36,15 +47,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnhelm.llm.common import components, kept, mix64, partitions, saved, slices, texts_of, units
-from tarnhelm.llm.shingles import blocks, sets_of
+from tarnhelm.llm.common import Scratch, components, kept, mix64, partitions, saved, slices, spread_join, units
+from tarnhelm.llm.shingles import bytes_of, sets_of
 
-#: Entries of the table of counts; its size doesn't grow with the data.
+#: Entries of the table of counts, which orders shingles; its size doesn't grow with the data.
 SKETCH_BITS, SKETCH_CUT = 20, 16
-CLASSES, LONG_PREFIX, BLOCK, BROADCAST_IDS = 64, 32, 2048, 1_000_000
+#: Documents that make a shingle frequent, and rows of one entry that may go to one task.
+FREQUENT, SALT_ROWS = 128, 512
+CLASSES, BLOCK, BROADCAST_IDS = 64, 2048, 1_000_000
 #: Entries that a document lists, and how many documents make an entry worth listing.
 LISTED, LISTED_FROM = 16, 16
-_ONE = np.uint64(1)
+_CELL = np.uint64((1 << SKETCH_BITS) - 1)
 
 
 def _features(docs: DataFrame, k: int) -> DataFrame:
@@ -57,13 +70,9 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
         names = ["doc_id", "n", "key", "profile", "task", "cut", "counts"]
         for batch in batches:
             for part in slices(batch, "text"):
-                n, keys, prof = [], [], []
-                for some in blocks(texts_of(part.column(1))):
-                    sets, key = sets_of(some, k, keyed=True)
-                    n += map(len, sets)
-                    keys += key
-                    prof += map(_profile, sets)
-                    np.add(counts, np.bincount(np.concatenate(sets) & np.uint64((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32), out=counts)
+                sets, keys = sets_of(bytes_of(part.column(1)), k, keyed=True)
+                n, prof = list(map(len, sets)), list(map(_profile, sets))
+                np.add(counts, np.bincount(np.concatenate(sets) & _CELL, minlength=1 << SKETCH_BITS).astype(np.uint32), out=counts)
                 none = pa.nulls(part.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prof, pa.binary()), none, none, pa.nulls(part.num_rows, pa.binary())], names=names)
         if counts.any():
@@ -92,86 +101,139 @@ def _summed(counts: DataFrame) -> np.ndarray:
     out = np.zeros((n, 1 << SKETCH_CUT), np.uint64)
     for r in rows:
         out[r["cut"]] += np.frombuffer(r["counts"], np.uint64)
-    return np.minimum(out.ravel(), (1 << 24) - 1).astype(np.uint64)
-
-
-def prefix_tokens(h: np.ndarray, counts: np.ndarray, frequent: int, percent: int) -> np.ndarray:
-    """What a document with shingles ``h`` is indexed under."""
-    n = len(h)
-    p = n - -(-percent * n // 100) + 1
-    short = p <= LONG_PREFIX  # its frequent shingles are indexed in pairs
-    both = not short or 100 * n >= percent * _least_long(percent) or n * percent * percent <= 10_000
-    m = min(n, p + 1)
-    freq = counts[h & np.uint64((1 << SKETCH_BITS) - 1)]
-    order = (freq << np.uint64(40)) | (h >> np.uint64(24))
-    pick = np.flatnonzero(order <= np.partition(order, m - 1)[m - 1]) if m < n else np.arange(n)
-    pick = pick[np.lexsort((h[pick], order[pick]))]
-    x, often = h[pick], freq[pick] > frequent
-    out = [x[~often]]
-    common = x[often]
-    if short and len(common) > 1:
-        i, j = np.triu_indices(len(common), 1)
-        out.append(mix64(common[i] * np.uint64(0x9FB21C651E98DF25) ^ mix64(common[j] + _ONE)))
-    if both:
-        out.append(mix64(common ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-    return np.concatenate(out)
-
-
-def _least_long(percent: int) -> int:
-    """The least set size whose prefix is longer than LONG_PREFIX."""
-    n = 1
-    while n - -(-percent * n // 100) + 1 <= LONG_PREFIX and n < 1 << 20:
-        n += 1
-    return n
-
-
-def _index(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """token, node, size: index entries; a task indexes texts with the same words once."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    mean = float(counts.mean())
-    frequent = int(mean + 8 * mean**0.5 + 64)
+    return out.ravel()
+
+
+class Order:
+    """The order of shingles, and the salts of those with very many documents: two small tables."""
+
+    def __init__(self, counts: np.ndarray, salt_rows: int):
+        self.level = np.floor(np.log2(counts.astype(np.float64) + 1) * 64).astype(np.uint16)
+        over = np.maximum(counts.astype(np.float64) - 2 * counts.mean(), 0)
+        self.salts = np.minimum(1 + over // salt_rows, 65_535).astype(np.uint16)
+
+    def prefix(self, h: np.ndarray, m: int) -> np.ndarray:
+        """The first m of a set of digests."""
+        if m >= len(h):
+            return h
+        key = (self.level[h & _CELL].astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12))
+        edge = np.partition(key, m - 1)[m - 1]
+        return h[key <= edge]  # equal keys stay together, so every document cuts alike
+
+    def salts_of(self, tokens: np.ndarray) -> np.ndarray:
+        return self.salts[tokens & _CELL].astype(np.uint64)
+
+
+def _prefix_size(n: int, percent: int) -> int:
+    """Shingles among which a set of n shares one with each partner."""
+    return n - -(-percent * n // 100) + 1
+
+
+def groups_of(n: int, percent: int) -> int:
+    """G for sets from the power of two at or below n on: an eighth of their prefix, less than what partners share."""
+    least = 1 << (n.bit_length() - 1)
+    return max(1, min(_prefix_size(least, percent) // 8, -(-percent * least // 100) - 1))
+
+
+def indexed_size(n: int, percent: int) -> int:
+    """The length of the extended prefix."""
+    return min(n, _prefix_size(n, percent) + groups_of(n, percent))
+
+
+def combined(tokens: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, first, second): what a document of n shingles indexes for its frequent ones.
+
+    It pairs inside the groups of its own G and of those of smaller partners: two documents
+    meet by the G of the smaller one.  Sets so small that one shared shingle may be enough
+    index each shingle too (first = second).
+    """
+    one, two = [], []
+    mixed = mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    for g in {groups_of(1 << j, percent) for j in range((-(-percent * n // 100)).bit_length() - 1, n.bit_length())}:
+        group = mixed % np.uint64(g)
+        order = np.lexsort((tokens, group))
+        t, group = tokens[order], group[order]
+        for d in range(1, len(t)):
+            same = group[d:] == group[:-d]
+            if not same.any():
+                break
+            one.append(t[:-d][same])
+            two.append(t[d:][same])
+    if n * percent <= 100:
+        one.append(tokens)
+        two.append(tokens)
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (one, two))
+    entry, first = np.unique(mix64(a * np.uint64(0x9FB21C651E98DF25) ^ mix64(b + np.uint64(1))), return_index=True)
+    return entry, a[first], b[first]
+
+
+def _salt(node: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """0 for entries that stay whole, else from 1 to their number of salts."""
+    return np.where(salts > 1, 1 + mix64(node.astype(np.int64).view(np.uint64)) % salts, 0).astype(np.int32)
+
+
+_ENTRY = "token bigint, salt int, node bigint, size bigint"
+_NAMES = ["token", "salt", "node", "size"]
+
+
+def _index(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
+    """token, salt, node, size: every shingle of the extended prefix; a task indexes texts with the same words once."""
 
     def run(batches):
-        table, seen = shared.value, set()
+        order, seen = shared.value, set()
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, texts, token, node, size, count = part.column(0).to_pylist(), texts_of(part.column(1)), [], [], [], []
-                at = 0
-                for some in blocks(texts):
-                    sets, keys = sets_of(some, k, keyed=True)
-                    for h, key in zip(sets, keys):
-                        i, at = ids[at], at + 1
-                        if i is None or key is None or key in seen:
-                            continue
-                        if len(seen) < 1_000_000:  # beyond that copies are indexed again, which changes nothing
-                            seen.add(key)
-                        t = prefix_tokens(h, table, frequent, percent)
-                        token.append(t), node.append(i), size.append(len(h)), count.append(len(t))
+                ids, token, node, size, count = part.column(0).to_pylist(), [], [], [], []
+                sets, keys = sets_of(bytes_of(part.column(1)), k, keyed=True)
+                for i, h, key in zip(ids, sets, keys):
+                    if i is None or key is None or key in seen:
+                        continue
+                    if len(seen) < 1_000_000:  # beyond that copies are indexed again, which changes nothing
+                        seen.add(key)
+                    t = order.prefix(h, indexed_size(len(h), percent))
+                    token.append(t), node.append(i), size.append(len(h)), count.append(len(t))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(node, np.int64), count)), pa.array(np.repeat(np.array(size, np.int64), count))], names=["token", "node", "size"])
-
-    return docs.mapInArrow(run, "token bigint, node bigint, size bigint")
+                    t, who = np.concatenate(token), np.repeat(np.array(node, np.int64), count)
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_salt(who, order.salts_of(t))), pa.array(who), pa.array(np.repeat(np.array(size, np.int64), count))], names=_NAMES)
 
+    return docs.mapInArrow(run, _ENTRY)
 
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, digests: the whole sets of the given documents.
 
-    The list of nodes is broadcast while it is short (BROADCAST_IDS at most, counted first), so
-    that texts stay where they are; a longer list is joined by a shuffle.
-    """
+def _combinations(frequent: DataFrame, percent: int, shared) -> DataFrame:
+    """Pairs of each document's frequent shingles; a list is a part of the document's own prefix."""
 
     def run(batches):
+        order = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                at, ids = 0, part.column(0)
-                for some in blocks(texts_of(part.column(1))):
-                    sets, _ = sets_of(some, k)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(some)), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], names=["node", "digests"])
-                    at += len(some)
+            for node, size, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                t, a, b = combined(tokens.values.to_numpy().view(np.uint64), size, percent)
+                if len(t):
+                    who = np.full(len(t), node, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_salt(who, np.minimum(order.salts_of(a), order.salts_of(b)))), pa.array(who), pa.array(np.full(len(t), size, np.int64))], names=_NAMES)
+
+    return frequent.groupBy("node", "size").agg(F.collect_list("token").alias("tokens")).mapInArrow(run, _ENTRY)
+
 
+def _entered(rows: DataFrame, percent: int) -> DataFrame:
+    """Entries with company: how many rows they have (``c``), each row's neighbour by size and the
+    least document of the entry, where the sizes allow a link."""
+    by = Window.partitionBy("token", "salt")
+    w = by.orderBy("size", "node")
+    rows = rows.repartition(partitions(rows.sparkSession), "token", "salt")
+    rows = rows.withColumn("prev", F.lag(F.struct("node", "size")).over(w)).withColumn("c", F.count("*").over(by)).withColumn("head", F.min(F.struct("node", "size")).over(by))
+    near = lambda x: F.when(_close(F.col(f"{x}.size"), F.col("size"), percent), F.col(f"{x}.node")).alias(x)
+    return rows.filter("c > 1 OR salt > 0").select(*_NAMES, "c", near("prev"), near("head"))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the given documents.
+
+    The list of nodes is broadcast while it is short (BROADCAST_IDS at most, counted first), so
+    that other texts stay where they are; a longer list is joined by a shuffle.
+    """
     if nodes.count() <= BROADCAST_IDS:
         nodes = F.broadcast(nodes)
-    return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(run, "node bigint, digests binary")
+    return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
 
 
 def _close(small: Column, large: Column, percent: int) -> Column:
@@ -204,7 +266,7 @@ def _beside(pairs: DataFrame, rows: DataFrame, col: str) -> DataFrame:
     return p.join(rows.select(F.col("node").alias("b"), F.col(col).alias("y")), "b").select("a", "b", "x", "y")
 
 
-def _bounded(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose profiles allow a link."""
 
     def run(batches):
@@ -213,25 +275,28 @@ def _bounded(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
                 (x, n), (y, m) = (_profiles(b.column(i).to_pylist()) for i in (2, 3))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_possible(x, y, n, m, percent)))
 
-    return saved(_beside(pairs, profiles, "profile").mapInArrow(run, "a bigint, b bigint").distinct(), "likely")
+    return scratch.saved(_beside(pairs, profiles, "profile").mapInArrow(run, "a bigint, b bigint").distinct(), "likely")
 
 
-def _verified(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _verified(likely: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; texts move, which compress where digests don't."""
 
     def run(batches):
-        for b in batches:
+        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        for batch in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                same = len(x) + len(y) - len(np.union1d(x, y))
+            for i in range(batch.num_rows):  # sets of one pair at a time are held
+                x, y = (bytes_of(batch.column(c).slice(i, 1))[0] for c in (2, 3))
+                if y != last[0]:  # pairs come sorted by b
+                    last = (y, sets_of([y], k)[0][0])
+                x, y = sets_of([x], k)[0][0], last[1]
+                same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             if keep:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    nodes = saved(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "nodes")
-    sets = saved(_sets(docs, nodes, k), "sets", "none")
-    return saved(_beside(likely, sets, "digests").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    nodes = scratch.saved(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "nodes")
+    return scratch.saved(_beside(likely, _texts(docs, nodes), "text").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
 def _padded(lists: pa.ListArray) -> np.ndarray:
@@ -256,8 +321,10 @@ def _met_before(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _across(inside: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of one index entry in different components that the bound allows.
 
-    An entry's documents are compared in blocks of BLOCK: a document goes to every pair of
-    blocks that holds its own, so a unit of work is bounded and only allowed pairs leave it.
+    An entry's documents reside in blocks of about BLOCK.  Documents outside the entry's main
+    component (lesser ones) visit every block, in chunks of about BLOCK; a unit of work is a
+    block and a chunk, and only allowed pairs leave it.  Where nearly all are in the main
+    component, hardly anything is copied.  Of two lesser documents the smaller id visits.
     ``before`` has a document's listed entries that come before the entry at hand (the order:
     larger first, as counted in column ``c``, then by token); two documents that share one of them have met there.
     """
@@ -265,38 +332,42 @@ def _across(inside: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     sized = inside.withColumn("entry", F.struct((-F.col("c")).alias("c"), "token"))
     # a document's entries are at most the tokens of its own prefix
     lists = sized.filter(F.col("c") >= LISTED_FROM).groupBy("node").agg(F.slice(F.sort_array(F.collect_set("entry")), 1, LISTED).alias("listed")).filter(F.size("listed") > 1)
-    rows = sized.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select("token", "node", "size", "comp", "main", "own", "entry", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    rows = rows.select("node", "size", "comp", "main", "own", "entry", (F.col("own") == F.col("o")).alias("alone"), F.xxhash64("token", F.least("own", "o"), F.greatest("own", "o")).alias("unit"))
-    rows = rows.join(profiles, "node").join(lists, "node", "left")
+    rows = sized.join(profiles, "node").join(lists, "node", "left")
     earlier = F.transform(F.filter("listed", lambda e: e < F.col("entry")), lambda e: e["token"])
-    rows = rows.select("node", "size", "comp", "main", "own", "alone", "unit", "profile", F.coalesce(earlier, F.array().cast("array<bigint>")).alias("before"))
-    met = rows.repartition(n, "unit").sortWithinPartitions("unit", "own", "node")
+    rows = rows.withColumn("before", F.coalesce(earlier, F.array().cast("array<bigint>")))
+    rows = rows.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("chunks", F.ceil(F.col("fewer") / BLOCK).cast("int"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spots = lambda n, make: F.transform(every(n), make)
+    stay = spots("chunks", lambda v: F.struct(F.lit(False).alias("visits"), place("blocks").alias("o"), v.alias("v")))
+    go = spots("blocks", lambda o: F.struct(F.lit(True).alias("visits"), o.alias("o"), place("chunks").alias("v")))
+    rows = rows.withColumn("spot", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(stay, go)).otherwise(stay)))
+    rows = rows.select("node", "size", "comp", (F.col("comp") != F.col("main")).alias("lesser"), "profile", "before", "spot.visits", F.xxhash64("token", "spot.o", "spot.v").alias("unit"))
+    met = rows.repartition(n, "unit").sortWithinPartitions("unit")
 
     def run(batches):
         for u in units(batches):
-            node, size, comp, main, own = (u.column(c).to_numpy() for c in ("node", "size", "comp", "main", "own"))
+            node, size, comp = (u.column(c).to_numpy() for c in ("node", "size", "comp"))
+            lesser, visits = (u.column(c).to_numpy(zero_copy_only=False) for c in ("lesser", "visits"))
+            minor, other = np.flatnonzero(visits), np.flatnonzero(~visits)
+            if not len(minor) or not len(other):
+                continue
             p, true = _profiles(u.column("profile").to_pylist())
             before = _padded(u.column("before"))
-            lesser = comp != main  # one of two components isn't the main one
-            half = len(node) if u.column("alone")[0].as_py() else int(np.searchsorted(own, own[-1]))
-            sides = [(slice(0, half), slice(0, half))] if half == len(node) else [(slice(0, half), slice(half, None)), (slice(half, None), slice(0, half))]
-            for left, right in sides:
-                minor = np.flatnonzero(lesser[left])
-                other = np.arange(len(node))[right]
-                for at in range(0, len(minor), 64):
-                    i = minor[at : at + 64] + (left.start or 0)
-                    ok = (comp[i][:, None] != comp[right][None, :]) & (100 * np.minimum(size[i][:, None], size[right][None, :]) >= percent * np.maximum(size[i][:, None], size[right][None, :]))
-                    ok &= ~lesser[right][None, :] | (i[:, None] < other[None, :])  # two lesser ones meet once
-                    cols = np.flatnonzero(ok.any(0))
-                    if len(cols):
-                        ok = ok[:, cols]
-                        ok &= _possible(p[i][:, None, :], p[right][cols][None, :, :], true[i][:, None], true[right][cols][None, :], percent)
-                        x, y = np.nonzero(ok)
-                        new = ~_met_before(before[i[x]], before[other[cols[y]]])
-                        a, b = node[i[x[new]]], node[other[cols[y[new]]]]
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for at in range(0, len(minor), 64):
+                i = minor[at : at + 64]
+                ok = (comp[i][:, None] != comp[other][None, :]) & (100 * np.minimum(size[i][:, None], size[other][None, :]) >= percent * np.maximum(size[i][:, None], size[other][None, :]))
+                ok &= ~lesser[other][None, :] | (node[i][:, None] < node[other][None, :])
+                cols = np.flatnonzero(ok.any(0))
+                if len(cols):
+                    ok = ok[:, cols]
+                    j = other[cols]
+                    ok &= _possible(p[i][:, None, :], p[j][None, :, :], true[i][:, None], true[j][None, :], percent)
+                    x, y = np.nonzero(ok)
+                    new = ~_met_before(before[i[x]], before[j[y]])
+                    a, b = node[i[x[new]]], node[j[y[new]]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -305,38 +376,59 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id",
     """doc_id, n_shingles, component_id for every row; two documents link when
     100 * |intersection| >= percent * |union| of their sets of k-word shingles."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    first = saved(_features(docs, k), "features")
-    features = first.filter("cut IS NULL").select("doc_id", "n", "key")
-    counts = _summed(first.filter("cut IS NOT NULL"))
+    with Scratch(docs.sparkSession) as scratch:
+        return saved(_linked(docs, k, percent, scratch), "linked")
+
+
+def _copies(features: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): documents with the words of a smaller id b."""
     known = features.filter("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).filter("c > 1")
-    copies = saved(known.select("key", F.col("doc_id").alias("a")).join(classes, "key").select("a", "b").filter("a <> b"), "copies")
+    classes = scratch.saved(classes, "classes")
+    total = classes.agg(F.sum("c")).first()[0] or 0
+    return scratch.saved(spread_join(known.select("key", F.col("doc_id").alias("a")), classes, "key", "c", total).select("a", "b").filter("a <> b"), "copies")
 
-    # index entries with two documents at least; each beside its neighbour by size and the entry's least document
-    w = Window.partitionBy("token").orderBy("size", "node")
-    entry = _index(docs, k, percent, counts).repartition(parts, "token")
-    entry = entry.withColumn("prev", F.lag("node").over(w)).withColumn("prev_size", F.lag("size").over(w)).withColumn("next", F.lead("node").over(w))
-    entries = saved(entry.filter("prev IS NOT NULL OR next IS NOT NULL").select("token", "node", "size", "prev", "prev_size"), "entries")
+
+def _linked(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    spark = docs.sparkSession
+    first = scratch.saved(_features(docs, k), "features")
+    features = first.filter("cut IS NULL").select("doc_id", "n", "key")
+    rows = features.count()
+    shared = spark.sparkContext.broadcast(Order(_summed(first.filter("cut IS NOT NULL")), max(SALT_ROWS, rows // 1024)))
+    copies = _copies(features, scratch)
+
+    # one document indexes each class; an id with several rows keeps them all
+    several = features.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("a"))
+    spare = scratch.saved(copies.select("a").distinct().join(several, "a", "left_anti"), "spare")
+    once = docs.join(F.broadcast(spare), docs["doc_id"] == spare["a"], "left_anti") if spare.count() <= BROADCAST_IDS else docs
+
+    # index entries with two documents at least: rare shingles alone, frequent ones in pairs
+    single = scratch.saved(_entered(_index(once, k, percent, shared), percent), "single")
+    rare = f"salt = 0 AND c <= {FREQUENT}"
+    paired = scratch.saved(_entered(_combinations(single.filter(f"NOT ({rare})").select(*_NAMES), percent, shared), percent), "paired")
+    entries = single.filter(rare).union(paired)
     pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b")
-    chain = pair(entries.filter("prev IS NOT NULL").filter(_close(F.col("prev_size"), F.col("size"), percent)), "prev", "node")
-    heads = entries.groupBy("token").agg(F.min(F.struct("node", "size")).alias("h"))
-    heads = saved(heads.select("token", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "heads")
-    star = pair(entries.join(heads, "token").filter(_close(F.col("head_size"), F.col("size"), percent)), "head", "node")
-    tried = saved(chain.union(star).distinct(), "tried")
-    profiles = saved(first.filter("cut IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "profile").distinct(), "profiles")
-    links = _verified(_bounded(tried, profiles, percent), docs, k, percent)
+    # the least documents of an entry's salts: as many as salts
+    heads = paired.filter("salt > 0").groupBy("token", "salt").agg(F.min(F.struct("node", "size")).alias("h"))
+    least = heads.groupBy("token").agg(F.min("h").alias("top"))
+    across = heads.join(least, "token").filter(_close(F.col("h.size"), F.col("top.size"), percent)).select(F.col("h.node").alias("node"), F.col("top.node").alias("head"))
+    tried = pair(entries.filter("prev IS NOT NULL"), "prev", "node").union(pair(entries.filter("head IS NOT NULL"), "head", "node")).union(pair(across, "head", "node"))
+    tried = scratch.saved(tried.distinct(), "tried")
+    profiles = scratch.saved(first.filter("cut IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "profile").distinct(), "profiles")
+    links = _verified(_bounded(tried, profiles, percent, scratch), docs, k, percent, scratch)
 
     # pairs of an entry that are not in one component yet
-    so_far = saved(components(links.union(copies)).withColumnRenamed("component", "comp"), "so-far")
+    so_far = components(links.union(copies), into=scratch).withColumnRenamed("component", "comp")
     placed = entries.select("token", "node", "size").join(so_far, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = saved(placed.select("token", "node", "size", "comp").distinct(), "placed")
+    placed = scratch.saved(placed.select("token", "node", "size", "comp").distinct(), "placed")
     per = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("c")).filter("comps > 1").select("token", "main", "c")
-    mixed = saved(mixed, "mixed")
-    inside = saved(placed.join(mixed, "token"), "inside")
-    more = saved(_across(inside, profiles, percent).join(tried, ["a", "b"], "left_anti"), "more")
-    links = links.union(_verified(more, docs, k, percent))
-    comps = components(links.union(copies)).withColumnRenamed("node", "doc_id")
+    most = F.max(F.struct("c", "comp"))
+    mixed = per.groupBy("token").agg(most.alias("most"), F.count("*").alias("comps"), F.sum("c").alias("c")).filter("comps > 1")
+    mixed = scratch.saved(mixed.select("token", F.col("most.comp").alias("main"), "c", (F.col("c") - F.col("most.c")).alias("fewer")), "mixed")
+    total = mixed.agg(F.sum("c")).first()[0] or 0
+    inside = scratch.saved(spread_join(placed, mixed, "token", "c", total), "inside")
+    more = scratch.saved(_across(inside, profiles, percent).join(tried, ["a", "b"], "left_anti"), "more")
+    links = links.union(_verified(more, docs, k, percent, scratch))
+    comps = components(links.union(copies), into=scratch).withColumnRenamed("node", "doc_id")
     out = features.join(comps, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

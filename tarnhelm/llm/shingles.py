@@ -1,72 +1,87 @@
-"""Word shingles of whole texts as sets of 64-bit digests, computed for a block of texts in numpy.
+"""Word shingles of whole texts as sets of 64-bit digests.
 
 Words are runs of bytes other than ASCII white space, after A-Z are lower-cased.  A text's
 set holds its distinct runs of ``k`` words; a text of fewer words has its whole sequence as
 the one member, and a text without words has the empty set.
+
+A word's digest is 64 bits of BLAKE2b, and a run's digest mixes those of its words, so two
+different runs agree with a probability of about 2**-64.  That is the one way in which a set
+can be wrong.
+
+A text is read in chunks of CHUNK bytes, cut at white space: beside the text itself and its
+digests (8 bytes a word) only a chunk's words are held, however long the text is.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from tarnhelm.llm.common import mix64
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE, _STEP = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
-_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-BLOCK_BYTES = 1 << 20
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        n = max(n, BLOCK_BYTES * 2)
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
-
-
-def blocks(texts: list[str]) -> Iterator[list[str]]:
-    """Lists of about BLOCK_BYTES characters (one longer text stays whole)."""
-    out, size = [], 0
-    for t in texts:
-        if out and size + len(t) > BLOCK_BYTES:
-            yield out
-            out, size = [], 0
-        out.append(t)
-        size += len(t)
-    if out:
-        yield out
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+CHUNK, REMEMBER = 1 << 20, 200_000
+
+
+class _Words(dict):
+    """Word to digest; unknown words are worked out once, and all are let go beyond REMEMBER."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+
+_WORDS = _Words()
 
 
-def sets_of(texts: list[str], k: int, keyed: bool = False) -> tuple[list[np.ndarray], list[bytes | None]]:
+def bytes_of(col: pa.Array) -> list[bytes]:
+    """A text column's UTF-8 bytes; null is the empty text."""
+    return [x or b"" for x in col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary()).to_pylist()]
+
+
+def _chunks(text: bytes) -> Iterator[bytes]:
+    at = 0
+    while len(text) - at > CHUNK:
+        cut = _SPACE.search(text, at + CHUNK)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def _words(text: bytes, key) -> np.ndarray:
+    """Digests of a text's words in order; ``key`` (a hash object) takes in the words."""
+    if len(_WORDS) > REMEMBER:
+        _WORDS.clear()
+    parts = []
+    for chunk in _chunks(text):
+        words = chunk.translate(_LOWER).split()
+        if words:
+            if key is not None:
+                key.update(b" ".join(words) + b" ")
+            parts.append(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def sets_of(texts: list[bytes], k: int, keyed: bool = False) -> tuple[list[np.ndarray], list[bytes | None]]:
     """For each text its sorted distinct shingle digests, and (``keyed``) a digest of its word sequence (None without words)."""
-    low = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
     keys: list[bytes | None] = []
-    if keyed:
-        for x in low:
-            words = x.split()
-            keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-    data = np.frombuffer(b" " + b" ".join(low) + b" ", np.uint8)
-    ends_of = np.cumsum([1, *[len(x) + 1 for x in low]])  # where each text starts
-    space = _SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    first, last = edge[::2], edge[1::2]
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    word = mix64((total[last] - total[first]) * down[first])
-    at = np.searchsorted(first, ends_of)
-    run = word.copy()
-    for j in range(1, k):
+    words = []
+    for t in texts:
+        key = hashlib.blake2b(digest_size=16) if keyed else None
+        words.append(_words(t, key))
+        if keyed:
+            keys.append(key.digest() if len(words[-1]) else None)
+    at = np.cumsum([0, *map(len, words)])
+    word = words[0] if len(words) == 1 else np.concatenate(words) if words else np.zeros(0, np.uint64)
+    run = word
+    for j in range(1, k):  # all texts at once; runs that cross from one text to the next are never used
         run = mix64(run[: len(word) - j] * _STEP + word[j:]) if len(word) > j else run[:0]
     out = []
     for a, b in zip(at[:-1], at[1:]):
