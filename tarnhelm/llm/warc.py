@@ -1,19 +1,24 @@
 """Operator 10: WARC records in a content-addressed archive.
 
 ``archive`` keeps two tables.  ``payloads`` holds each distinct payload once, under its
-SHA-256; equality of all payloads with one digest is verified byte by byte before it is
-stored.  ``records`` holds the exact header bytes of every record and the digest of its
-payload.  ``records_of`` joins them back to the original records: header, payload (none in
-a revisit record) and the closing line ends.  ``parse`` reads records.
+SHA-256, with how many records carry it; equality of all payloads with one digest is
+verified byte by byte before it is stored.  ``records`` holds the exact header bytes of
+every record, the digest of its payload and whether it is a revisit.  ``records_of`` joins
+them back to the original records: header, payload (none in a revisit record, which fetches
+none) and the closing line ends.  ``parse`` reads records.
+
+A digest with very many pages is split off from every join (see ``spread_join``); only short
+payloads are carried by more than one record, so what is broadcast for them is small.
 
 Of pages with equal payloads of at least ``revisit_from`` bytes, the one with the smallest
 id is the response and the others are revisits that refer to it; shorter payloads are
 responses always.
 
-Defined results: a null html is the empty payload; a null url gives a record without a
-target; repeated rows make a record each: of rows that share the smallest id one is the
+Defined results: a null html is the empty payload; payloads of any length are kept whole; a
+null url gives a record without a target, and line ends in a url become %0D and %0A, since
+they would end the header line; repeated rows make a record each: of rows that share the smallest id one is the
 response (by url, then any) and the rest revisit that id; rows without an id come last; an
-empty table gives an empty archive.  Other columns are ignored.
+empty table gives an empty archive.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnhelm.llm.common import delete, spread_join
 from tarnhelm.session import scratch_path
 
 CRLF = "\r\n"
@@ -28,7 +34,7 @@ _URN = "urn:uuid:"
 
 
 def _record_id(*what: Column) -> Column:
-    """A record id that is the same at each run: digest digits in the form of a UUID."""
+    """A record id, unique in its archive: digest digits in the form of a UUID."""
     h = F.sha2(F.concat_ws("|", *what), 256)
     cut = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat(F.lit(_URN), F.concat_ws("-", *[F.substring(h, a, n) for a, n in cut]))
@@ -41,20 +47,22 @@ def _line(name: str, value: Column) -> Column:
 def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 100, date: str = "2024-01-01T00:00:00Z") -> str:
     """Write the archive below ``path``; payloads move once, by digest, and combine before they do."""
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.regexp_replace(F.col(url), r"[\r\n]+", " ").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.replace(F.replace(F.col(url), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("bigint"))
     # one row a digest and task crosses the shuffle; min and max differ if a digest had two payloads
-    store = rows.groupBy("digest").agg(F.min("payload").alias("payload"), F.max("payload").alias("other"))
+    store = rows.groupBy("digest").agg(F.min("payload").alias("payload"), F.max("payload").alias("other"), F.count("*").alias("n"))
+    carried = F.when(F.octet_length("payload") >= revisit_from, 1).otherwise(F.col("n")).alias("carried")
     sure = F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads have one digest")))
-    store.select("digest", sure.alias("payload")).write.parquet(f"{path}/payloads")
+    store.select("digest", sure.alias("payload"), carried).write.parquet(f"{path}/payloads")
     heads = rows.select("page_id", "url", "digest", "bytes", F.monotonically_increasing_id().alias("row"))
     heads.write.parquet(f"{path}/heads")
     spark = pages.sparkSession
     heads = spark.read.schema(heads.schema).parquet(f"{path}/heads")
     pick = F.struct(F.col("page_id").isNull().alias("late"), "page_id", F.coalesce("url", F.lit("")).alias("url"), "row")
     groups = heads.filter(F.col("bytes") >= revisit_from).groupBy("digest").agg(F.min(pick).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    groups = groups.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
-    j = heads.join(groups, "digest", "left")
+    groups.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"), "n").write.parquet(f"{path}/groups")
+    groups = spark.read.schema("digest string, first_id bigint, first_row bigint, n bigint").parquet(f"{path}/groups")
+    j = spread_join(heads, groups, "digest", "n", heads.count(), "left")
     revisit = F.col("first_row").isNotNull() & (F.col("row") != F.col("first_row"))
     uid = lambda pid, row: _record_id(pid.cast("string"), row.cast("string"))
     head = F.concat(
@@ -73,26 +81,28 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
         _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
         F.lit(CRLF),
     )
-    j.select("digest", F.encode(head, "UTF-8").alias("header")).write.parquet(f"{path}/records")
+    j.select("digest", F.encode(head, "UTF-8").alias("header"), revisit.alias("revisit")).write.parquet(f"{path}/records")
+    delete(spark, f"{path}/heads", f"{path}/groups")
     return path
 
 
 def records_of(spark: SparkSession, path: str) -> DataFrame:
     """digest, record, payload: every original record byte for byte, rebuilt by joining headers to the store.
 
-    The payload's digest is verified as it is read; a payload that is gone or altered raises.
+    A revisit's payload is null: it is that of the record it refers to.  Of the others the
+    digest is verified as the payload is read; one that is gone or altered raises.
     """
-    records = spark.read.schema("digest string, header binary").parquet(f"{path}/records")
-    store = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
+    records = spark.read.schema("digest string, header binary, revisit boolean").parquet(f"{path}/records")
+    store = spark.read.schema("digest string, payload binary, carried bigint").parquet(f"{path}/payloads")
+    plain = records.filter("NOT revisit")
     sure = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload is missing or altered: "), F.col("digest"))))
-    j = records.join(store, "digest", "left").select("digest", "header", sure.alias("payload"))
-    body = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return j.select("digest", F.concat("header", body, F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"), "payload")
+    whole = spread_join(plain, store, "digest", "carried", plain.count(), "left").select("digest", "header", sure.alias("payload"))
+    j = whole.unionByName(records.filter("revisit").select("digest", "header", F.lit(None).cast("binary").alias("payload")))
+    return j.select("digest", F.concat("header", F.coalesce("payload", F.lit(b"")), F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"), "payload")
 
 
-def _field(name: str, header: Column | None = None) -> Column:
-    text = F.decode(F.col("header") if header is None else header, "UTF-8")
-    got = F.regexp_extract(text, rf"\r\n{name}: ([^\r]*)", 1)
+def _field(name: str) -> Column:
+    got = F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)", 1)
     return F.when(got != "", got)
 
 
@@ -102,8 +112,8 @@ def parse(records: DataFrame) -> DataFrame:
     A response whose body doesn't have the digest of its header raises.
     """
     raw = F.col("record")
-    end = F.instr(F.decode(raw, "ISO-8859-1"), CRLF * 2)  # one character a byte: places are byte places
-    h = records.withColumn("header", raw.substr(F.lit(1), end + 1)).withColumn("rest", end + 4)
+    # a cast reads bytes as they are, and the search ends at the first empty line
+    h = records.withColumn("header", F.substring_index(raw.cast("string"), CRLF * 2, 1)).withColumn("rest", F.octet_length("header") + 5)
     kind, digest = _field("WARC-Type"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "")
     body = raw.substr(F.col("rest"), _field("Content-Length").cast("int"))
     out = h.select(
