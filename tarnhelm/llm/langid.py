@@ -3,15 +3,23 @@
 A word that any language knows is scored by its log frequency in each; a word that none
 knows is scored by its character 4-grams (of the word between boundary marks), and if none
 of those is known by its 3-grams, then 2-grams, then letters.  A text's languages compete
-by the sum over its words; the score is the winner's share after a softmax.
-
-At most ``per_lang`` documents of a language are learned from, and each language keeps its
-``max_words`` commonest words and ``max_grams`` commonest n-grams of each length; what one
-language keeps is counted in all of them.  Only the text is ever an input of a prediction.
-
-Defined results: ``und`` with score 0 for a null text, a text without a letter, and when
-nothing could be learned; ties go to the language first in order; repeated rows are
-predicted each; columns named like a result are replaced.
+by the sum over its words; the score is the winner's share after a softmax.  ``support`` is
+the share of words that are known or hold a known 4-gram: a text of another language, or of
+random letters, has little of it however sure the softmax is.
+
+At most ``per_lang`` documents of a language are learned from (more than 1000 languages are
+an error).  A word or n-gram is known when they hold it ``min_count`` times, all languages
+together; what is known is counted in each of them.  So the model's size is bounded by the
+sampled texts, and nothing that is seen often enough is left out.  Only the text is ever an
+input of a prediction.
+
+Words are runs of letters; other characters, digits and signs like the one in ``m2`` or a
+raised 2, only part them.
+
+Defined results: ``und`` with score and support 0 for a null text, a text without a letter,
+and when nothing could be learned; ties go to the language first in order; texts of any
+length are read whole; repeated rows are predicted each; columns named like a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -23,19 +31,25 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnhelm.llm.common import add_columns, kept, saved, slices, texts_of
+from tarnhelm.llm.common import Scratch, add_columns, kept, slices, texts_of
 from tarnhelm.llm.training import held_out, sampled
 
-PER_LANG, MAX_WORDS, MAX_GRAMS, LONGEST = 2_000, 10_000, 4_000, 4
+PER_LANG, MIN_COUNT, LONGEST = 2_000, 8, 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower()) if w.isalpha()]
+    out = []
+    for w in _WORD.findall(text.lower()):
+        if w.isalpha():
+            out.append(w)
+        else:  # numerals that aren't digits stand inside
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -52,17 +66,18 @@ class Model:
         self.langs, self.table = langs, table
         self._rows: dict[str, int] = {}
         self._scores: list[np.ndarray] = []
-        self._matrix = np.zeros((0, len(langs)))
+        self._matrix = np.zeros((0, len(langs) + 1))
 
     def word(self, w: str) -> np.ndarray:
+        """Its score in each language, and whether it is known as a word or by a 4-gram."""
         hit = self.table.get((0, w))
         if hit is not None:
-            return hit
+            return np.append(hit, 1.0)
         for n in range(LONGEST, 0, -1):
             known = [x for g in grams(w, n) if (x := self.table.get((n, g))) is not None]
             if known:
-                return np.sum(known, axis=0) / n  # overlapping n-grams see each letter n times
-        return np.zeros(len(self.langs))
+                return np.append(np.sum(known, axis=0) / n, float(n == LONGEST))  # overlapping n-grams see each letter n times
+        return np.zeros(len(self.langs) + 1)
 
     def _learn(self, words: list[str]) -> None:
         if len(self._rows) > self.REMEMBER:
@@ -75,19 +90,20 @@ class Model:
                 self._rows[w] = i
             self._matrix = np.concatenate([self._matrix, np.array([self.word(w) for w in new])])
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """(language, score, support) of each text."""
         lists = [words_of(t) for t in texts]
         if not self.langs:
-            return [("und", 0.0)] * len(texts)
+            return [("und", 0.0, 0.0)] * len(texts)
         self._learn([w for ws in lists for w in ws])
         out, get = [], self._rows.__getitem__
         for ws in lists:
             if not ws:
-                out.append(("und", 0.0))
+                out.append(("und", 0.0, 0.0))
                 continue
-            s = self._matrix[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0)
-            i = int(s.argmax())
-            out.append((self.langs[i], float(1 / np.exp(np.maximum(s - s[i], -700)).sum())))
+            *s, known = self._matrix[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0)
+            i = int(np.argmax(s))
+            out.append((self.langs[i], float(1 / np.exp(np.maximum(np.array(s) - s[i], -700)).sum()), float(known / len(ws))))
         return out
 
 
@@ -126,33 +142,27 @@ def _gram_counts(words: DataFrame) -> DataFrame:
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, kind int, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", per_lang: int = PER_LANG, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", per_lang: int = PER_LANG, min_count: int = MIN_COUNT) -> Model:
     """Learn from documents with a language that are not held out."""
     rows = docs.filter(F.col(lang).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     chosen, rates = sampled(rows.select("doc_id", "lang", "text"), "lang", per_lang)
     langs = sorted(rates)
-    words = saved(_word_counts(chosen), "lang-words")
-    items = words.select("lang", F.lit(0).alias("kind"), F.col("word").alias("item"), "n").union(_gram_counts(words))
-    total = F.sum("n").over(Window.partitionBy("lang", "kind"))
-    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    top = items.withColumn("total", total).withColumn("top", place <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams))
-    # an item that one language keeps brings its counts in the others
-    top = top.withColumn("top", F.max("top").over(Window.partitionBy("kind", "item"))).filter("top")
-    # at most max_words + LONGEST * max_grams items a language, and a row for each item and language
-    counts: dict[tuple[int, str], dict[str, int]] = {}
-    totals: dict[tuple[str, int], int] = {}
-    for r in top.select("lang", "kind", "item", "n", "total").collect():
-        counts.setdefault((r["kind"], r["item"]), {})[r["lang"]] = r["n"]
-        totals[r["lang"], r["kind"]] = r["total"]
-    table = {}
-    for (kind, item), by in counts.items():
-        # half a count for what a language hasn't shown
-        table[kind, item] = np.log(np.array([(by.get(x, 0) + 0.5) / (totals.get((x, kind), 0) + 0.5 * max_words) for x in langs]))
+    with Scratch(docs.sparkSession) as scratch:
+        words = scratch.saved(_word_counts(chosen), "lang-words")
+        items = scratch.saved(words.select("lang", F.lit(0).alias("kind"), F.col("word").alias("item"), "n").union(_gram_counts(words)), "lang-items")
+        # a row for each known item, with its counts by language; and a total for each language and kind
+        known = items.groupBy("kind", "item").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).filter(F.col("all") >= min_count)
+        counts = {(r["kind"], r["item"]): r["by"] for r in known.select("kind", "item", "by").toLocalIterator()}
+        totals = {(r["lang"], r["kind"]): r["n"] for r in items.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
+    kinds = Counter(kind for kind, _ in counts)
+    # half a count for what a language hasn't shown
+    rest = {kind: np.array([totals.get((x, kind), 0) + 0.5 * n for x in langs]) for kind, n in kinds.items()}
+    table = {(kind, item): np.log(np.array([by.get(x, 0) + 0.5 for x in langs]) / rest[kind]) for (kind, item), by in counts.items()}
     return Model(langs, table)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Append ``lang_pred`` and ``score``."""
+    """Append ``lang_pred``, ``score`` and ``support``."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table))
 
     def make():
@@ -160,11 +170,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def f(col: pa.Array) -> list[pa.Array]:
             got = m.predict(texts_of(col))
-            return [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
+            return [pa.array([x[0] for x in got], pa.string()), *(pa.array([x[i] for x in got], pa.float64()) for i in (1, 2))]
 
         return f
 
-    return add_columns(docs, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("support", T.DoubleType())]
+    return add_columns(docs, text, fields, make)
 
 
 def _model(parts) -> Model:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,17 @@ QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_store, op3_ann, op4_itq, o
 
 _REACH = """reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)"""
 
+#: The remainders of CRC-32 by half a byte.
+_CRC = [functools.reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(4), i) for i in range(16)]
+
+
+def _crc32_sql(raw: str) -> str:
+    """CRC-32 of the bytes that a column holds in hex."""
+    half = lambda c: f"xor({c} >> 4, ({_CRC}::BIGINT[])[({c} & 15) + 1])"
+    bytes_ = f"list_transform(range(0, length({raw}) // 2), lambda i: CAST('0x' || substr({raw}, 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: {half(half('xor(c, b)'))}), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
     "op4_itq": f"""
         WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -79,6 +92,12 @@ ORACLES: dict[str, str] = {
         n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
         SELECT reach.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(reach.b) AS component_id, reach.a = min(reach.b) AS kept
         FROM reach LEFT JOIN n ON n.a = reach.a GROUP BY reach.a""",
+    "op7_sharding": f"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS raw, source, sha256(concat_ws(chr(31), '42', CAST(doc_id AS VARCHAR), coalesce(text, chr(0)))) AS key FROM documents),
+        r AS (SELECT *, (CAST(row_number() OVER (PARTITION BY source ORDER BY key) AS DOUBLE) - 0.5::DOUBLE) / CAST(count(*) OVER (PARTITION BY source) AS DOUBLE) AS frac FROM d),
+        p AS (SELECT *, row_number() OVER (ORDER BY frac, source NULLS FIRST, key) - 1 AS pos, count(*) OVER () AS n FROM r),
+        s AS (SELECT *, CAST((SELECT max(x) FROM range(8) t(x) WHERE (x * n + 7) // 8 <= pos) AS INTEGER) AS shard FROM p)
+        SELECT doc_id, CAST(length(raw) // 2 + 1 AS BIGINT) AS size, {_crc32_sql('raw')} AS text_crc32, 'rows' AS law, shard, CAST(pos - (shard * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s""",
     "op9_jaccard": f"""
         WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]

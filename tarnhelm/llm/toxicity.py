@@ -3,7 +3,7 @@
 A word's score is its log-odds between toxic and clean training documents (in how many of
 them it occurs), both smoothed with a Dirichlet prior in the proportions of all training
 documents.  Words whose log-odds are ``min_delta`` from zero at least, and ``min_z`` standard
-deviations, keep their score.  A word that doesn't takes that of its surest run of five
+deviations, keep their score (held between LEAST and MOST).  A word that doesn't takes that of its surest run of five
 characters (of the word between boundary marks), so that inflected forms count; every word
 without any gets the (negative) log ratio of what is left of either distribution.  A text
 is scanned once, in linear time, for all its maximal segments: the disjoint runs of words
@@ -22,7 +22,8 @@ sources and ids are never inputs of a score.
 Defined results: null and empty texts have no evidence and get the base score; a document
 without labels, or with label 1 anywhere among repeated labels, is clean or toxic in
 training accordingly (unlabelled rows don't train); without both classes every score is 0;
-repeated rows are scored each; columns named like a result are replaced.
+repeated rows are scored each; texts of any length are scanned whole; columns named like a
+result are replaced.
 """
 
 from __future__ import annotations
@@ -39,14 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnhelm.llm.common import add_columns, kept, saved, slices, texts_of
+from tarnhelm.llm.common import Scratch, add_columns, kept, slices, texts_of
 from tarnhelm.llm.training import held_out, sampled
 
 PER_CLASS = 20_000
-MAX_WORDS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 
 
+#: Log-odds are held between these, so that one word is never all of the evidence.
+LEAST, MOST = -3.0, 8.0
 GRAM, MARK = 5, "~"  # a run of characters is kept as the mark (never in a word) and the run
 
 
@@ -208,16 +210,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, prior: float = 0.01, min_z: float = 2.3, min_delta: float = 3.0, max_words: int = MAX_WORDS) -> Model:
-    """Learn from labelled rows that are not held out.  The sampled ids are broadcast: 2 * per_class at most."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, prior: float = 0.01, min_z: float = 2.3, min_delta: float = 3.0) -> Model:
+    """Learn from labelled rows that are not held out.  The sampled ids are broadcast: 2 * per_class at most.
+
+    Every significant word is kept; the words come from 2 * per_class documents at most."""
     marks = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     marks = marks.groupBy(F.col(doc_id).cast("bigint").alias("doc_id")).agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
+    with Scratch(docs.sparkSession) as scratch:
+        return _fitted(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), marks, per_class, prior, min_z, min_delta, scratch)
+
+
+def _fitted(base: DataFrame, marks: DataFrame, per_class: int, prior: float, min_z: float, min_delta: float, scratch: Scratch) -> Model:
     chosen, rates = sampled(marks, "y", per_class)
     if set(rates) != {0, 1}:
         return Model({}, 1.0, 1.0, 1.0)
-    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = saved(base.join(F.broadcast(chosen), "doc_id").select("text", "y"), "labelled")
-    counts = saved(_counts(rows), "word-odds")
+    rows = scratch.saved(base.join(F.broadcast(chosen), "doc_id").select("text", "y"), "labelled")
+    counts = scratch.saved(_counts(rows), "word-odds")
     # documents of either class, as the number of chances a word has to occur
     size = rows.groupBy("y").count().collect()
     nt, nc = (float(next((r["count"] for r in size if r["y"] == y), 0)) for y in (1, 0))
@@ -228,10 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     delta = F.log(t / (nt + more - t + 1)) - F.log(c / (nc + more - c + 1))
     odds = counts.select("word", "toxic", "clean", delta.alias("delta"), (delta / F.sqrt(1 / t + 1 / c)).alias("z"))
     odds = odds.filter((F.abs("z") >= min_z) & (F.abs("delta") >= min_delta))
-    table = odds.orderBy(F.desc(F.abs(F.col("z"))), "word").limit(max_words).collect()
+    table = odds.collect()  # the significant words of the sampled documents
     if not table:
         return Model({}, 1.0, 1.0, 1.0)
-    scores = {r["word"]: (min(max(r["delta"], -3.0), 8.0), r["z"]) for r in table}
+    scores = {r["word"]: (min(max(r["delta"], LEAST), MOST), r["z"]) for r in table}
 
     def masses(batches):
         memory = _Scores(scores)
@@ -243,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int64()), pa.array([s for _, s in out], pa.float64()), pa.array(list(out.values()), pa.int64())], names=["y", "s", "n"])
 
-    # a row for each class and score: bounded by max_words
+    # a row for each class and score: bounded by the significant words
     mass = rows.mapInArrow(masses, "y bigint, s double, n bigint").groupBy("y", "s").agg(F.sum("n").alias("n")).collect()
     words_in = {y: sum(r["n"] for r in mass if r["y"] == y) or 1 for y in (0, 1)}
     rest = {y: max(sum(r["n"] for r in mass if r["y"] == y and r["s"] is None) / words_in[y], 1e-3) for y in (0, 1)}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Distinct label values that can be learned; more are an error.
+MOST_LABELS = 1000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -14,8 +16,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sampled(rows: DataFrame, label: str, bound: int, key: str = "doc_id") -> tuple[DataFrame, dict]:
-    """At most about ``bound`` rows of each label value, by a hash of the key; and each value's rate."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    """At most about ``bound`` rows of each label value, by a hash of the key; and each value's rate.
+
+    More than MOST_LABELS values raise: they are counted, never gathered."""
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"column {label} has more than {MOST_LABELS} values")
     scale = 1 << 30
     keep = {v: min(scale, scale * bound // n) for v, n in counts.items()}
     if not keep:
