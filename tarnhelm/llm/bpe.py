@@ -18,7 +18,7 @@ from itertools import islice
 
 import numpy as np
 
-from tarnhelm.llm.common import gather, kept
+from tarnhelm.llm.common import PIECE, gather, kept, pieces
 
 #: Letters and numbers below U+0180, where Unicode versions agree; other texts take the library's own rules.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
@@ -249,7 +249,29 @@ class Encoder:
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and the bounds of each text."""
+        """Flat ids of all texts and the bounds of each text; a long text is encoded in pieces."""
+        if all(len(t) <= PIECE for t in texts):
+            return self._block(texts)
+        flats, lens, block = [], [], []
+
+        def flush() -> None:
+            flat, bounds = self._block(block)
+            flats.append(flat)
+            lens.extend(np.diff(bounds).tolist())
+            block.clear()
+
+        for t in texts:
+            if len(t) <= PIECE:
+                block.append(t)
+                continue
+            flush()
+            parts = [self._block([p])[0] for p in pieces(t)]
+            flats += parts
+            lens.append(sum(map(len, parts)))
+        flush()
+        return np.concatenate(flats), np.cumsum([0, *lens])
+
+    def _block(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memory) > self.remember:
             self._shrink()
         rows, counts, get = [], np.zeros(len(texts) + 1, np.int64), self.memory.__getitem__

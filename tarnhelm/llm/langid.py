@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnhelm.llm.common import Scratch, add_columns, kept, slices, texts_of
+from tarnhelm.llm.common import Scratch, add_columns, kept, pieces, slices, texts_of
 from tarnhelm.llm.training import held_out, sampled
 
 PER_LANG, MIN_COUNT, LONGEST = 2_000, 8, 4
@@ -92,18 +92,33 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
         """(language, score, support) of each text."""
-        lists = [words_of(t) for t in texts]
         if not self.langs:
             return [("und", 0.0, 0.0)] * len(texts)
-        self._learn([w for ws in lists for w in ws])
-        out, get = [], self._rows.__getitem__
-        for ws in lists:
-            if not ws:
-                out.append(("und", 0.0, 0.0))
-                continue
-            *s, known = self._matrix[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0)
+        sums, counts = np.zeros((len(texts), len(self.langs) + 1)), [0] * len(texts)
+        block: list[tuple[int, list[str]]] = []
+
+        def flush() -> None:
+            self._learn([w for _, ws in block for w in ws])
+            get = self._rows.__getitem__
+            for i, ws in block:
+                sums[i] += self._matrix[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0)
+                counts[i] += len(ws)
+            block.clear()
+
+        held = 0
+        for i, t in enumerate(texts):
+            for p in pieces(t):
+                if ws := words_of(p):
+                    block.append((i, ws))
+                    held += len(ws)
+                    if held > 100_000:
+                        flush()
+                        held = 0
+        flush()
+        out = []
+        for (*s, known), n in zip(sums, counts):
             i = int(np.argmax(s))
-            out.append((self.langs[i], float(1 / np.exp(np.maximum(np.array(s) - s[i], -700)).sum()), float(known / len(ws))))
+            out.append((self.langs[i], float(1 / np.exp(np.maximum(np.array(s) - s[i], -700)).sum()), float(known / n)) if n else ("und", 0.0, 0.0))
         return out
 
 
@@ -119,7 +134,8 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 for t, lang in zip(texts_of(part.column(0)), part.column(1).to_pylist()):
-                    seen.update((lang, w) for w in words_of(t))
+                    for p in pieces(t):
+                        seen.update((lang, w) for w in words_of(p))
                 if len(seen) > 200_000:
                     yield from out()
         yield from out()

@@ -3,13 +3,14 @@
 Frequent words of the corpus, with the ids they encode to, are compiled into a minimal
 acyclic automaton that shares prefixes and suffixes.  Its arcs carry additive outputs, so
 the sum along a word's path is the word's place in byte order, which leads to its ids.
-The compiled file is handed to every executor once and memory-mapped by its workers (one
-copy of pages for all of them).  Words outside the lexicon are merged exactly, so the
+The compiled file lies in the shared folder, is handed to every executor once and
+memory-mapped by its workers (one copy of pages for all of them).  Words outside the lexicon are merged exactly, so the
 lexicon changes speed only, never ids.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated
 rows are encoded each for itself; an empty table gives an empty table; a column with the
-name of a result is replaced, any other passes through.
+name of a result is replaced, any other passes through; texts of any length are encoded
+whole, in pieces.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnhelm.llm.bpe import Bpe, Encoder, bpe_of
-from tarnhelm.llm.common import add_columns, binary_rows, kept, saved, slices, texts_of
+from tarnhelm.llm.common import Scratch, add_columns, binary_rows, kept, pieces, slices, texts_of
+from tarnhelm.session import scratch_path
 
 #: Words in the lexicon: a limit on its size, not on what is encoded.
 LEXICON_WORDS = 50_000
@@ -169,9 +171,10 @@ def word_counts(docs: DataFrame, text: str, tokenizer: str, flush: int = 100_000
         for batch in batches:
             for part in slices(batch, text):
                 for t in texts_of(part.column(0)):
-                    seen.update(bpe.words(t))
-                if len(seen) > flush:
-                    yield from out()
+                    for p in pieces(t):
+                        seen.update(bpe.words(p))
+                        if len(seen) > flush:
+                            yield from out()
         yield from out()
 
     return docs.select(text).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -185,17 +188,23 @@ def build_lexicon(docs: DataFrame, text: str, tokenizer: str, size: int = LEXICO
     """
     spark = docs.sparkSession
     step = F.floor(F.log2("n") * 32)
-    counts = saved(word_counts(docs, text, tokenizer).filter("n > 1").withColumn("step", step), "word-counts")
-    least, total = None, 0
-    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 32 a doubling: some 2000 at most
-        total += r["count"]
-        if total > size:
-            break
-        least = r["step"]
-    top = [] if least is None else counts.filter(F.col("step") >= least).select("word").collect()
-    folder, name = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-")), f"lexicon-{uuid.uuid4().hex}.bin"
-    compile_lexicon([bytes(r["word"]) for r in top], bpe_of(tokenizer), os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    with Scratch(spark) as scratch:
+        counts = scratch.saved(word_counts(docs, text, tokenizer).filter("n > 1").withColumn("step", step), "word-counts")
+        least, total = None, 0
+        for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 32 a doubling: some 2000 at most
+            total += r["count"]
+            if total > size:
+                break
+            least = r["step"]
+        top = [] if least is None else counts.filter(F.col("step") >= least).select("word").collect()
+    # the file goes to the shared folder, from where executors fetch it, replaced ones too; the driver's own copy goes
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    shared = f"{scratch_path(spark, 'lexicon')}/{name}"
+    with tempfile.TemporaryDirectory(prefix="lexicon-") as folder:
+        compile_lexicon([bytes(r["word"]) for r in top], bpe_of(tokenizer), os.path.join(folder, name))
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        path(shared).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(path("file://" + os.path.join(os.path.realpath(folder), name)), path(shared))
+    spark.sparkContext.addFile(shared)
     return name
 
 
@@ -234,7 +243,10 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
         table = bpe_of(tokenizer).token_bytes.__getitem__
 
         def one(raw: bytes | None) -> str | None:
-            return None if raw is None else b"".join(map(table, np.frombuffer(raw, "<u4").tolist())).decode("utf-8", "replace")
+            if raw is None:
+                return None
+            ids = np.frombuffer(raw, "<u4")
+            return b"".join([b"".join(map(table, ids[a : a + 65_536].tolist())) for a in range(0, len(ids), 65_536)]).decode("utf-8", "replace")
 
         return lambda col: [pa.array([one(x) for x in col.to_pylist()], pa.string())]
 

@@ -17,15 +17,20 @@ whole in one segment.  A store is a folder with ``segments`` (part, segment, bef
 of the part before it, documents, ids, payload) and ``parts`` (part, start: ids before the
 part), so any document's place in the whole sequence is known without a scan.
 
+``lookup`` reads ids at places of the whole sequence and ``documents_at`` whole documents:
+the narrow columns say which segments hold them, only those payloads are fetched, and
+single ids are decoded by rank, not by reading a segment through.
+
 Defined results: a null or empty text is stored with the end id only; repeated rows are
-stored each; an empty table gives a store without segments; other columns are ignored.
+stored each; an empty table gives a store without segments; other columns are ignored;
+texts of any length are encoded whole, in pieces, and stay in one segment.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -183,3 +188,55 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     return segments.join(parts, "part").select("payload", (F.col("start") + F.col("before")).alias("start")).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+
+
+def _located(spark: SparkSession, path: str, places: DataFrame, place: str) -> DataFrame:
+    """part, segment, first (the segment's first place), place, payload: each distinct place with its segment, together.
+
+    A place meets its segment by a range join on blocks of SEGMENT_IDS places, which shuffles
+    places and segment numbers only; then the segments asked for come with their payloads.
+    """
+    segments = spark.read.schema(_SEGMENTS).parquet(f"{path}/segments")
+    parts = F.broadcast(spark.read.schema("part int, start bigint").parquet(f"{path}/parts"))
+    spans = segments.filter("ids > 0").join(parts, "part").select("part", "segment", (F.col("start") + F.col("before")).alias("first"), "ids")
+    spans = spans.withColumn("block", F.explode(F.sequence(F.expr(f"first div {SEGMENT_IDS}"), F.expr(f"(first + ids - 1) div {SEGMENT_IDS}"))))
+    wanted = places.select(F.col(place).cast("bigint").alias("place")).filter("place >= 0").distinct().withColumn("block", F.expr(f"place div {SEGMENT_IDS}"))
+    hits = wanted.join(spans, "block").filter("place >= first AND place < first + ids").select("part", "segment", "first", "place")
+    met = hits.join(segments.select("part", "segment", "payload"), ["part", "segment"]).sortWithinPartitions("part", "segment")
+    return met.select("part", "segment", "first", "place", "payload")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Segment, int, int]]:
+    """(segment, place, place in the segment) of located rows; a segment is opened once for rows that come together."""
+    last: tuple = (None, None)
+    for batch in batches:
+        part, segment, first, at = (batch.column(i).to_pylist() for i in range(4))
+        for i in range(batch.num_rows):
+            if last[0] != (part[i], segment[i]):
+                last = ((part[i], segment[i]), Segment(batch.column(4)[i].as_py()))
+            yield last[1], at[i], at[i] - first[i]
+
+
+def lookup(spark: SparkSession, path: str, places: DataFrame, place: str = "place") -> DataFrame:
+    """(place, id) for every distinct place of the whole sequence that is asked for; places beyond it have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((at, s[where]) for s, at, where in _opened(batches))
+        while some := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some)], names=["place", "id"])
+
+    return _located(spark, path, places, place).mapInArrow(run, "place bigint, id bigint")
+
+
+def documents_at(spark: SparkSession, path: str, starts: DataFrame, start: str = "start") -> DataFrame:
+    """doc_id, start, n_tokens, ids of the documents that begin at the given places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, at, where in _opened(batches):
+            d = int(np.searchsorted(s.bounds[:-1], where))
+            if d < len(s.doc_ids) and s.bounds[d] == where:
+                ids = s.run(where, int(s.bounds[d + 1])).astype("<u4")
+                row = (None if s.nulls[d] else int(s.doc_ids[d]), at, len(ids), ids.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "start", "n_tokens", "ids"])
+
+    return _located(spark, path, starts, start).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")

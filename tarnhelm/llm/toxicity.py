@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnhelm.llm.common import Scratch, add_columns, kept, slices, texts_of
+from tarnhelm.llm.common import Scratch, add_columns, kept, pieces, slices, texts_of
 from tarnhelm.llm.training import held_out, sampled
 
 PER_CLASS = 20_000
@@ -123,10 +123,17 @@ class Model:
     slope: float = 0.0
     e_value: float = 0.5
 
-    def segments(self, text: str) -> tuple[int, list[str], list[tuple[int, int, float]]]:
-        words = words_of(text)
-        hits = [(i, s) for i, s in enumerate(map(_memory(self.scores).__getitem__, words)) if s is not None]
-        return len(words), words, maximal_segments([i for i, _ in hits], [s for _, s in hits], self.drift)
+    def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """The number of words, and the maximal segments; a long text is read in pieces."""
+        own, at, scores, n = _memory(self.scores).__getitem__, [], [], 0
+        for p in pieces(text):
+            words = words_of(p)
+            for i, s in enumerate(map(own, words), n):
+                if s is not None:
+                    at.append(i)
+                    scores.append(s)
+            n += len(words)
+        return n, maximal_segments(at, scores, self.drift)
 
     def significant(self, n: int, segments) -> list[tuple[int, int, float]]:
         """(first, last + 1, normalised score) of segments whose E-value is at most ``e_value``."""
@@ -173,7 +180,7 @@ def _counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 for t, y in zip(texts_of(part.column(0)), part.column(1).to_pylist()):
-                    words = set(words_of(t))
+                    words = {w for p in pieces(t) for w in words_of(p)}
                     seen[y].update(words)
                     seen[y].update({g for w in words for g in grams_of(w)})
                 if len(seen[0]) + len(seen[1]) > 400_000:
@@ -246,8 +253,8 @@ def _fitted(base: DataFrame, marks: DataFrame, per_class: int, prior: float, min
         for batch in batches:
             out: Counter = Counter()
             for x, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                hits = [memory[w] for w in words_of(x)]
-                out.update((y, s) for s in hits)
+                for p in pieces(x):
+                    out.update((y, memory[w]) for w in words_of(p))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int64()), pa.array([s for _, s in out], pa.float64()), pa.array(list(out.values()), pa.int64())], names=["y", "s", "n"])
 
@@ -266,7 +273,7 @@ def _fitted(base: DataFrame, marks: DataFrame, per_class: int, prior: float, min
         for batch in batches:
             out = []
             for x, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                m, _, seg = model.segments(x)
+                m, seg = model.segments(x)
                 out.append((y, m, max((s for *_, s in seg), default=0.0)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out)], names=["y", "n", "best"])
@@ -277,7 +284,7 @@ def _fitted(base: DataFrame, marks: DataFrame, per_class: int, prior: float, min
 
     def measure(batches):
         for batch in batches:
-            out = [(y, model.evidence(*(lambda r: (r[0], r[2]))(model.segments(x)))) for x, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist())]
+            out = [(y, model.evidence(*model.segments(x))) for x, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int64()), pa.array([e for _, e in out], pa.float64())], names=["y", "e"])
 
@@ -301,15 +308,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         def f(col: pa.Array) -> list[pa.Array]:
             scores, spans = [], []
             for t in texts_of(col):
-                n, words, seg = m.segments(t)
+                n, seg = m.segments(t)
                 scores.append(m.score(m.evidence(n, seg)))
                 hit = m.significant(n, seg)
-                if hit:
-                    low = t.lower()  # places hold in the text where lower-casing keeps its length
-                    at = [w.span() for w in _WORD.finditer(low)]
-                    spans.append([{"start": at[a][0], "end": at[b - 1][1], "score": s} for a, b, s in hit])
-                else:
-                    spans.append([])
+                # places hold in the text where lower-casing keeps its length
+                ends = {x for a, b, _ in hit for x in (a, b - 1)}
+                at = {i: w.span() for i, w in enumerate(_WORD.finditer(t.lower())) if i in ends} if hit else {}
+                spans.append([{"start": at[a][0], "end": at[b - 1][1], "score": s} for a, b, s in hit])
             return [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, kind)]
 
         return f
