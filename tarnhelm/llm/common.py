@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -121,6 +122,25 @@ def texts_of(col: pa.Array) -> list[str]:
     return [x or "" for x in col.to_pylist()]
 
 
+_CUT, PIECE = re.compile(r"(?<=\w) (?=\w)"), 1 << 20
+
+
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """A long text in pieces of about ``size`` characters.
+
+    Cuts lie before a single space between word characters, where every word rule used here
+    starts a new word, so the pieces' words are those of the text.
+    """
+    at = 0
+    while len(text) - at > size:
+        cut = _CUT.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def add_columns(df: DataFrame, weigh: str, fields: Sequence[T.StructField], make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
     """Append columns computed from column ``weigh``; columns of the same names are replaced.
 
@@ -220,3 +240,20 @@ def units(batches: Iterable[pa.RecordBatch], key: str = "unit") -> Iterator[pa.R
         rest = b.slice(cuts[-1] if len(cuts) else 0)
     if rest is not None and rest.num_rows:
         yield rest
+
+
+def whole_units(batches: Iterable[pa.RecordBatch], key: str = "unit") -> Iterator[pa.RecordBatch]:
+    """Batches that are sorted by ``key``, cut so that no unit goes on in the next; many small units stay together."""
+    rest: pa.RecordBatch | None = None
+    for b in batches:
+        if rest is not None and rest.num_rows:
+            b = pa.concat_batches([rest, b])
+        if not b.num_rows:
+            continue
+        value = b.column(b.schema.get_field_index(key)).to_numpy()
+        cut = int(np.searchsorted(value, value[-1]))
+        if cut:
+            yield b.slice(0, cut)
+        rest = b.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
