@@ -31,9 +31,15 @@ def get_session(app: str = "tarnhelm", cores: int | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a local one only if unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    In local mode an unset one becomes a temporary folder; on a cluster, where executors would
+    each write to their own disk, that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="tarnhelm-"))
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
