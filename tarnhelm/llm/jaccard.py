@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnhelm.llm.common import Scratch, components, kept, mix64, partitions, saved, slices, spread_join, units
+from tarnhelm.llm.common import Scratch, components, kept, mix64, partitions, saved, slices, spread_join, whole_units
 from tarnhelm.llm.shingles import bytes_of, sets_of
 
 #: Entries of the table of counts, which orders shingles; its size doesn't grow with the data.
@@ -318,6 +318,39 @@ def _met_before(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _meetings(unit: np.ndarray, node: np.ndarray, lesser: np.ndarray, visits: np.ndarray, small: np.ndarray):
+    """Pairs of places (i, j) of sorted units that are to be compared, some thousands at a time; one of each pair is lesser.
+
+    Units of one block hold residents only, and each two of them meet (in brief units by their
+    distance in the order); elsewhere visitors meet residents.  Of two lesser ones the smaller id comes first.
+    """
+    start = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    length = np.diff([*start, len(unit)])
+    brief = np.repeat(length, length) <= 64
+    place = np.flatnonzero(brief & small)
+    for d in range(1, 64):
+        i = place[: len(place) - d]
+        j = place[d:]
+        same = unit[i] == unit[j]
+        if not same.any():
+            break
+        keep = same & (lesser[i] | lesser[j])
+        if keep.any():
+            yield i[keep], j[keep]
+    for a, n in zip(start.tolist(), length.tolist()):
+        if n <= 64 and small[a]:
+            continue
+        here = np.arange(a, a + n)
+        if small[a]:
+            one, two = here[lesser[here]], here
+        else:
+            one, two = here[visits[here]], here[~visits[here]]
+        for at in range(0, len(one), 64):
+            x = one[at : at + 64]
+            i, j = np.nonzero(~lesser[two][None, :] | (node[x][:, None] < node[two][None, :]))
+            yield x[i], two[j]
+
+
 def _across(inside: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of one index entry in different components that the bound allows.
 
@@ -341,31 +374,26 @@ def _across(inside: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     spots = lambda n, make: F.transform(every(n), make)
     stay = spots("chunks", lambda v: F.struct(F.lit(False).alias("visits"), place("blocks").alias("o"), v.alias("v")))
     go = spots("blocks", lambda o: F.struct(F.lit(True).alias("visits"), o.alias("o"), place("chunks").alias("v")))
-    rows = rows.withColumn("spot", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(stay, go)).otherwise(stay)))
-    rows = rows.select("node", "size", "comp", (F.col("comp") != F.col("main")).alias("lesser"), "profile", "before", "spot.visits", F.xxhash64("token", "spot.o", "spot.v").alias("unit"))
+    goes = (F.col("comp") != F.col("main")) & (F.col("blocks") > 1)  # in an entry of one block all meet without visits
+    rows = rows.withColumn("spot", F.explode(F.when(goes, F.concat(stay, go)).otherwise(stay))).withColumn("small", F.col("blocks") == 1)
+    rows = rows.select("node", "size", "comp", (F.col("comp") != F.col("main")).alias("lesser"), "profile", "before", "small", "spot.visits", F.xxhash64("token", "spot.o", "spot.v").alias("unit"))
     met = rows.repartition(n, "unit").sortWithinPartitions("unit")
 
     def run(batches):
-        for u in units(batches):
-            node, size, comp = (u.column(c).to_numpy() for c in ("node", "size", "comp"))
-            lesser, visits = (u.column(c).to_numpy(zero_copy_only=False) for c in ("lesser", "visits"))
-            minor, other = np.flatnonzero(visits), np.flatnonzero(~visits)
-            if not len(minor) or not len(other):
-                continue
-            p, true = _profiles(u.column("profile").to_pylist())
-            before = _padded(u.column("before"))
-            for at in range(0, len(minor), 64):
-                i = minor[at : at + 64]
-                ok = (comp[i][:, None] != comp[other][None, :]) & (100 * np.minimum(size[i][:, None], size[other][None, :]) >= percent * np.maximum(size[i][:, None], size[other][None, :]))
-                ok &= ~lesser[other][None, :] | (node[i][:, None] < node[other][None, :])
-                cols = np.flatnonzero(ok.any(0))
-                if len(cols):
-                    ok = ok[:, cols]
-                    j = other[cols]
-                    ok &= _possible(p[i][:, None, :], p[j][None, :, :], true[i][:, None], true[j][None, :], percent)
-                    x, y = np.nonzero(ok)
-                    new = ~_met_before(before[i[x]], before[j[y]])
-                    a, b = node[i[x[new]]], node[j[y[new]]]
+        for part in whole_units(batches):
+            node, size, comp, unit = (part.column(c).to_numpy() for c in ("node", "size", "comp", "unit"))
+            lesser, visits, small = (part.column(c).to_numpy(zero_copy_only=False) for c in ("lesser", "visits", "small"))
+            p, true = _profiles(part.column("profile").to_pylist())
+            before = _padded(part.column("before"))
+            for i, j in _meetings(unit, node, lesser, visits, small):
+                ok = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+                i, j = i[ok], j[ok]
+                for at in range(0, len(i), 16_384):
+                    x, y = i[at : at + 16_384], j[at : at + 16_384]
+                    ok = _possible(p[x], p[y], true[x], true[y], percent)
+                    x, y = x[ok], y[ok]
+                    new = ~_met_before(before[x], before[y])
+                    a, b = node[x[new]], node[y[new]]
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
