@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnhelm.llm.common import partitions, saved
+from tarnhelm.llm.common import Scratch, partitions, saved
 from tarnhelm.llm.vectors import dimension, exact_scores, matrix, sample, usable
 
 FIT_ROWS, CALIBRATE, RECALL = 20_000, 256, 0.95
@@ -188,6 +188,11 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vec_id:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of ``df`` found for each row of ``queries`` (default: all).
 
     Leaves hold about ``leaf_size`` rows as long as the fitted rows allow (8 of them at least)."""
+    with Scratch(df.sparkSession) as scratch:
+        return saved(_searched(df, queries, k, vec_id, vec, leaf_size, fit_rows, calibrate, recall, branching, scratch), "nearest")
+
+
+def _searched(df: DataFrame, queries: DataFrame | None, k: int, vec_id: str, vec: str, leaf_size: int, fit_rows: int, calibrate: int, recall: float, branching: int, scratch: Scratch) -> DataFrame:
     spark = df.sparkSession
     tidy = lambda x: x.filter(usable(F.col(vec)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     base, asked = tidy(df), tidy(df if queries is None else queries)
@@ -207,7 +212,7 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vec_id:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.assign(_lift(matrix(b.column(1)), square)), pa.int64())], names=["id", "v", "leaf"])
 
-    filed = saved(base.mapInArrow(file, "id bigint, v array<double>, leaf bigint"), "filed")
+    filed = scratch.saved(base.mapInArrow(file, "id bigint, v array<double>, leaf bigint"), "filed")
     visits = _calibrated(filed, asked, tree, k, calibrate, recall)
 
     # work units: a block of a leaf's rows by a chunk of its visitors
@@ -224,7 +229,7 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vec_id:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(one), b.column(1).take(one), pa.array(leaves, pa.int64())], names=["id", "v", "leaf"])
 
     routed = asked.mapInArrow(go, "id bigint, v array<double>, leaf bigint")
-    routed = saved(routed, "routed")
+    routed = scratch.saved(routed, "routed")
     asked_of = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}
     unit = {leaf: (-(-n // BLOCK), -(-asked_of[leaf] // CHUNK)) for leaf, n in rows_in.items() if leaf in asked_of}
     if not unit:
@@ -289,16 +294,23 @@ def _calibrated(filed: DataFrame, asked: DataFrame, tree: Tree, k: int, calibrat
     shared = spark.sparkContext.broadcast((q_ids, q))
 
     def blocks(batches):
-        ids, qs = shared.value
+        (ids, qs), best = shared.value, _Best(k)
         for b in batches:
             if b.num_rows:
-                c_ids, leaf = b.column(0).to_numpy(), b.column(2).to_numpy()
+                c_ids = b.column(0).to_numpy()
                 i, j, s = best_of(qs, ids, matrix(b.column(1)), c_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(s), pa.array(leaf[j])], names=["q", "s", "leaf"])
-
-    near = filed.mapInArrow(blocks, "q bigint, s double, leaf bigint")
-    top = near.groupBy("q").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("s", "leaf")))), 1, k).alias("t"))
-    true = {r["q"]: [x["leaf"] for x in r["t"]] for r in top.collect()}
+                best.add(ids[i], c_ids[j], s)
+                best.settle()
+        q, i, s = best.settle()  # k a query and task
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+    near = filed.mapInArrow(blocks, "query_id bigint, vec_id bigint, score double").repartition(partitions(spark), "query_id").sortWithinPartitions("query_id")
+    top = near.mapInArrow(lambda batches: _merged(batches, k), "query_id bigint, rank int, vec_id bigint, score double")
+    # calibrate * k rows at most
+    placed = filed.select(F.col("id").alias("vec_id"), "leaf").join(F.broadcast(top), "vec_id").groupBy("query_id", "rank").agg(F.min("leaf").alias("leaf"))
+    true: dict[int, list[int]] = {}
+    for r in placed.collect():
+        true.setdefault(r["query_id"], []).append(r["leaf"])
     shares = np.zeros(len(tree.leaves) + 1)
     used = 0
     for i, x in zip(q_ids.tolist(), _flat(q)):
