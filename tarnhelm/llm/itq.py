@@ -1,7 +1,7 @@
 """Operator 4: near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-On at most ``fit_rows`` vectors the principal axes are found and rotations are learned that
-bring them close to the corners of the cube (iterative quantisation); signs of the rotated
+On at most ``fit_rows`` vectors the principal axes are found and rotations are learned (on
+ROTATION_ROWS of them) that bring them close to the corners of the cube (iterative quantisation); signs of the rotated
 coordinates are balanced codes.  A code's bits are cut into substrings, one table each; two
 vectors meet in a table when they share its substring and their label.  The number of
 tables is calibrated so that vectors exactly at the threshold meet in one of them with
@@ -10,9 +10,11 @@ the close pairs among them; if 2048 tables don't reach it, that is an error.
 Every meeting is reranked with the original vectors, in double precision: no pair below
 the threshold is ever linked.
 
-Equal vectors of one label are one class with a count, so copies meet once.  Inside a
-bucket links are found by blocks of bounded size; only counts and a spanning forest leave
-it, never all pairs.  A pair that meets in several tables counts in the first.
+Equal vectors of one label are one class with a count, so copies meet once.  Buckets are
+counted by a 64-bit key, and only rows with company fetch their vectors (four bytes a
+component where the column holds floats).  Inside a bucket links are found by blocks of
+bounded size; only counts and a spanning forest leave it, never all pairs.  A pair that
+meets in several tables counts in the first.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
 a null label, or another dimension than the commonest, link with nothing; a repeated id is
@@ -27,17 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarnhelm.llm.common import components, partitions, saved, units
+from tarnhelm.llm.common import Scratch, binary_rows, components, mix64, partitions, saved, spread_join, units
 from tarnhelm.llm.vectors import dimension, exact_scores, matrix, sample, usable
 
-FIT_ROWS, RECALL, BLOCK = 20_000, 0.9995, 2048
+FIT_ROWS, ROTATION_ROWS, RECALL, BLOCK = 20_000, 4_000, 0.9995, 2048
 
 
 def learn_rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = 30) -> np.ndarray:
     """Rotation that brings centred rows close to cube corners: signs and rotation by turns."""
     r = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
-    x = x[:4000]  # enough to settle a rotation
+    x = x[:ROTATION_ROWS]
     for _ in range(rounds):
         u, _, vt = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
         r = (u @ vt).T
@@ -121,17 +124,24 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vec: str = "embedding", label: str | None = "label", fit_rows: int = FIT_ROWS, recall: float = RECALL) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
+    with Scratch(df.sparkSession) as scratch:
+        return saved(_linked(df, threshold, vec_id, vec, label, fit_rows, recall, scratch), "linked")
+
+
+def _linked(df: DataFrame, threshold: float, vec_id: str, vec: str, label: str | None, fit_rows: int, recall: float, scratch: Scratch) -> DataFrame:
     spark, n = df.sparkSession, partitions(df.sparkSession)
+    kind = df.schema[vec].dataType
+    width = np.dtype("<f4") if isinstance(getattr(kind, "elementType", None), T.FloatType) else np.dtype("<f8")
     v = F.col(vec).cast("array<double>")
     good = usable(F.col(vec)) & (F.lit(True) if label is None else F.col(label).isNotNull())
     rows = df.select(F.col(vec_id).cast("bigint").alias("id"), F.when(good, v).alias("v"), (F.lit("") if label is None else F.col(label).cast("string")).alias("label"), F.monotonically_increasing_id().alias("row"))
-    rows = saved(rows, "vectors")
+    rows = scratch.saved(rows, "vectors")
     dim = dimension(rows.filter(F.col("v").isNotNull()), "v")
     usable_rows = rows.filter(F.col("v").isNotNull() & (F.size("v") == dim)).withColumn("class", F.sha2(F.concat_ws("|", "label", F.col("v").cast("string")), 256))
     # one member a class: the smallest id
-    classes = usable_rows.groupBy("class").agg(F.min("row").alias("rep"), F.count("*").alias("size"))
-    members = usable_rows.select("row", "class")
-    reps = saved(usable_rows.select("row", "v", "label").join(classes.select(F.col("rep").alias("row"), "size", "class"), "row"), "classes")
+    members = scratch.saved(usable_rows.select("row", "class", "label"), "members")
+    classes = scratch.saved(members.groupBy("class").agg(F.min("row").alias("rep"), F.count("*").alias("size")), "sizes")
+    reps = scratch.saved(rows.select("row", "v", "label").join(classes.select(F.col("rep").alias("row"), "size", "class"), "row"), "classes")
     fitted = sample(reps, "v", fit_rows, "row")
     if not len(fitted):
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -139,38 +149,51 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vec: st
     bits = int(min(max(6, math.ceil(math.log2(max(crowd, 2) / 16))), 24, max(1, dim)))
     codes = Codes(fitted, threshold, bits, recall)
     shared = spark.sparkContext.broadcast(codes)
-    tables = codes.tables
+    tables, digits = codes.tables, np.dtype("<u2" if bits <= 16 else "<u4")
 
     def file(batches):
         for b in batches:
             if b.num_rows:
-                keys = shared.value.keys(matrix(b.column(1)))
-                width = np.arange(b.num_rows + 1, dtype=np.int32) * tables
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(width, pa.array(keys.ravel()))], names=["row", "v", "label", "size", "keys"])
-
-    filed = saved(reps.select("row", "v", "label", "size").mapInArrow(file, "row bigint, v array<double>, label string, size bigint, keys array<int>"), "codes")
-    spots = filed.select("row", "label", F.posexplode("keys").alias("t", "key"))
-    bucket = ["label", "t", "key"]
-    sizes = spots.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+                x = matrix(b.column(1))
+                flat = lambda a, each: binary_rows(a.ravel(), np.arange(len(x) + 1) * each)
+                yield pa.RecordBatch.from_arrays([b.column(0), flat(x.astype(width), dim), b.column(2), b.column(3), flat(shared.value.keys(x).astype(digits), tables)], names=["row", "v", "label", "size", "keys"])
+
+    def spread(batches):
+        for b in batches:
+            if b.num_rows:
+                keys = np.frombuffer(b"".join(b.column(2).to_pylist()), digits).astype(np.uint64)
+                t = np.tile(np.arange(tables, dtype=np.uint64), b.num_rows)
+                lab = np.repeat(b.column(1).to_numpy().view(np.uint64), tables)
+                bucket = mix64(mix64(lab + t * np.uint64(0x9E3779B97F4A7C15)) ^ keys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), tables)), pa.array(t.astype(np.int16)), pa.array(bucket.view(np.int64))], names=["row", "t", "bucket"])
+
+    filed = scratch.saved(reps.select("row", "v", "label", "size").mapInArrow(file, "row bigint, v binary, label string, size bigint, keys binary"), "codes", "none")
+    spots = scratch.saved(filed.select("row", F.xxhash64("label").alias("lab"), "keys").mapInArrow(spread, "row bigint, t smallint, bucket bigint"), "spots")
+    sizes = scratch.saved(spots.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "buckets")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     # a row goes to every pair of blocks that holds its own: (b, c) with b <= c
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    placed = spots.join(sizes, bucket).withColumn("own", own)
-    duos = placed.select("row", *bucket, "own", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("o"))
-    placed = duos.select("row", "t", F.xxhash64(*bucket, F.least("own", "o"), F.greatest("own", "o")).alias("unit"), "own", (F.col("own") == F.col("o")).alias("alone"))
-    met = placed.join(filed.select("row", "v", "keys", "size"), "row").repartition(n, "unit").sortWithinPartitions("unit", "own", "row")
+    placed = spread_join(spots, sizes, "bucket", "n", total).withColumn("own", own)
+    duos = placed.select("row", "t", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    placed = duos.select("row", "t", F.xxhash64("bucket", F.least("own", "o"), F.greatest("own", "o")).alias("unit"), "own", (F.col("own") == F.col("o")).alias("alone"))
+    met = placed.join(filed, "row").repartition(n, "unit").sortWithinPartitions("unit", "own", "row")
 
     def meet(batches):
         for u in units(batches):
             t, alone = u.column("t")[0].as_py(), u.column("alone")[0].as_py()
             row, own_b, size = (u.column(c).to_numpy() for c in ("row", "own", "size"))
-            x = matrix(u.column("v"))
-            keys = u.column("keys").flatten().to_numpy().reshape(len(row), -1)
+            x = np.frombuffer(b"".join(u.column("v").to_pylist()), width).astype(np.float64).reshape(len(row), -1)
+            keys = np.frombuffer(b"".join(u.column("keys").to_pylist()), digits).reshape(len(row), -1)
             if alone:
                 i, j = _links(x, x, keys, keys, t, threshold, True)
             else:
                 cut = int(np.searchsorted(own_b, own_b[-1]))
                 i, j = _links(x[:cut], x[cut:], keys[:cut], keys[cut:], t, threshold, False)
                 j = j + cut
+            labels = u.column("label").dictionary_encode()
+            if len(labels.dictionary) > 1:  # two labels with one bucket key
+                code = labels.indices.to_numpy()
+                i, j = i[code[i] == code[j]], j[code[i] == code[j]]
             if len(i):
                 count = np.zeros(len(row), np.int64)
                 np.add.at(count, i, size[j])
@@ -179,16 +202,18 @@ def link(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vec: st
                 on = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays([pa.array(row[on]), pa.array(count[on]), pa.array(row[root[on]])], names=["row", "links", "root"])
 
-    found = saved(met.mapInArrow(meet, "row bigint, links bigint, root bigint"), "meetings")
+    found = scratch.saved(met.mapInArrow(meet, "row bigint, links bigint, root bigint"), "meetings")
     counts = found.groupBy("row").agg(F.sum("links").alias("links"))
-    comps = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
+    comps = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")), into=scratch)
     # classes: links to the other copies and to linked classes; component by the smallest id in it
     info = reps.select("row", "class", "size").join(counts, "row", "left").join(comps.withColumnRenamed("node", "row"), "row", "left")
-    info = info.select("class", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "row").alias("component"))
-    info = saved(info.filter("links > 0"), "linked")  # only rows with links go on
-    of_row = saved(members.join(info, "class").join(rows.select("row", "id"), "row").select("row", "id", "links", "component"), "linked-rows")
-    least = of_row.groupBy("component").agg(F.min("id").alias("first"))
-    named = of_row.join(least, "component").select("row", "links", "first")
+    info = info.select("class", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "row").alias("component"))
+    info = scratch.saved(info.filter("links > 0"), "linked")  # only rows with links go on
+    every = members.count()
+    of_row = spread_join(members.select("row", "class"), info, "class", "size", every).select("row", "links", "component")
+    of_row = scratch.saved(of_row.join(rows.select("row", "id"), "row"), "linked-rows")
+    least = scratch.saved(of_row.groupBy("component").agg(F.min("id").alias("first"), F.count("*").alias("c")), "least")
+    named = spread_join(of_row, least, "component", "c", every).select("row", "links", "first")
     out = rows.select("row", "id").join(named, "row", "left")
     cid = F.coalesce("first", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), cid.alias("component_id"), cid.eqNullSafe(F.col("id")).alias("kept"))
