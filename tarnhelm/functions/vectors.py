@@ -57,12 +57,17 @@ def closest_point(p: Column | str, centroids: Sequence[Sequence[float]]) -> Colu
 def vector_sum(df: DataFrame, keys: Sequence[str], col: str, alias: str, dim: int | None = None) -> DataFrame:
     """Elementwise sum by group: one hash aggregation with partial sums.
 
-    With ``dim`` the sum is ``dim`` plain sums in one aggregate (no row blow-up).  Without
-    it ragged vectors are exploded by position; a group of NULL vectors only gives ``[]``.
+    With ``dim`` the sum is ``dim`` plain sums in one aggregate (no row blow-up); a longer
+    vector raises, shorter ones count as padded with zeros.  Without it ragged vectors are
+    exploded by position.  Either way a group's sum is as long as its longest vector, and a
+    group without components gives ``[]``.
     """
     if dim is not None:
-        sums = F.array(*[F.coalesce(F.sum(F.get(F.col(col), F.lit(i))), F.lit(0.0)) for i in range(dim)]).alias(alias)
-        return df.groupBy(*keys).agg(sums) if keys else df.agg(sums)
+        v = F.col(col)
+        fits = F.when(F.coalesce(F.size(v), F.lit(0)) <= dim, v).otherwise(F.raise_error(F.lit(f"a vector has more than {dim} components")))
+        sums = F.array(*[F.coalesce(F.sum(F.get(fits, F.lit(i))), F.lit(0.0)) for i in range(dim)])
+        out = F.slice(sums, 1, F.greatest(F.coalesce(F.max(F.size(v)), F.lit(0)), F.lit(0))).alias(alias)
+        return df.groupBy(*keys).agg(out) if keys else df.agg(out)
     slots = (
         df.select(*keys, F.posexplode_outer(col).alias("_pos", "_x"))
         .groupBy(*keys, "_pos").agg(F.sum("_x").alias("_x"))

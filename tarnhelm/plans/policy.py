@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnhelm.operators import relational as R
+from tarnhelm.plans.sqlguard import QueryRefused, check, record
 from tarnhelm.plans.trace import Trace
 from tarnhelm.sources.sealed import read_sealed
 
@@ -165,30 +166,36 @@ class GovernedFrame:
         return self.df, self.policy.trace
 
 
-_CHARGED = {"Filter": "filter", "Project": "project", "Aggregate": "aggregate", "Join": "join"}
+def plan_operators(df: DataFrame) -> list[str]:
+    """Charged operators of the analyzed plan, from the leaves up (independent of the optimizer); a view is a leaf."""
+    ops: list[str] = []
 
+    def charge(op: str, *inputs: int) -> int:
+        ops.append(op)
+        return 0
 
-def plan_operators(df: DataFrame) -> list[str]:
-    """Charged operators of the analyzed plan, from the leaves up (independent of the optimizer)."""
-    lines = df._jdf.queryExecution().analyzed().toString().splitlines()
-    names = [x.lstrip(" :+-").split(" ")[0].split("(")[0] for x in lines]
-    return [_CHARGED[n] for n in reversed(names) if n in _CHARGED]
+    record(df, lambda *_: 0, charge)
+    return ops
 
 
 def governed_sql(spark: SparkSession, policy: PolicyContext, sql: str, tables: dict[str, DataFrame]) -> GovernedFrame:
-    """Run a SQL text over named frames; each charged operator of its analyzed plan costs one unit."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    out = spark.sql(sql)
-    base = [n for df in tables.values() for n in plan_operators(df)]
-    ops = plan_operators(out)
-    for n in base:  # what a table's own plan holds is not the query's doing
-        if n in ops:
-            ops.remove(n)
-    node = policy.trace.add("scan") if len(tables) < 2 else policy.trace.add("union", *[policy.trace.add("scan") for _ in tables])
-    for op in ops:
-        node = policy.charge(op, node)
-    return GovernedFrame(out, policy, node)
+    """Run a query over named frames; each charged operator of its analyzed plan costs one unit.
+
+    Only queries over these names pass (``QueryRefused`` otherwise), and everything is paid for
+    before the frame is handed out.  The names are views while the text is analyzed, and are
+    dropped then; views of the same name that the frames' session had are gone too, so serve
+    requests from a session of their own.
+    """
+    if strange := check(spark, sql) - {n.lower() for n in tables}:
+        raise QueryRefused(f"unknown table: {', '.join(sorted(strange))}")
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        out = spark.sql(sql)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+    return GovernedFrame(out, policy, record(out, policy.trace.add, policy.charge))
 
 
 def trace_frame(spark: SparkSession, trace: Trace) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnhelm.catalog import load
 from tarnhelm.functions import scalars as S
@@ -14,6 +15,10 @@ from tarnhelm.functions import vectors as V
 from tarnhelm.operators import relational as R
 from tarnhelm.plans.levels import Level
 from tarnhelm.plans.policy import KeyRegistry, trace_frame
+from tarnhelm.service.server import QueryService
+from tarnhelm.session import scratch_path
+from tarnhelm.sources.delimited import from_rows, read_delimited
+from tarnhelm.sources.sealed import write_sealed
 from tarnhelm.workloads import bdb, iterative, tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,8 +151,13 @@ _simple("agg_null_group", "orders", lambda df: R.aggregate(df.select(F.nullif(C(
 _simple("agg_by_name", "orders", lambda df: R.aggregate_by_name(df, "o_orderstatus", "o_custkey", "mean").select("o_orderstatus", F.round("mean(o_custkey)", 4).alias("v")), "SELECT o_orderstatus, round(avg(o_custkey), 4) AS v FROM orders GROUP BY 1")
 _simple("distinct", "lineitem", lambda df: R.distinct(df.select("l_returnflag", "l_linestatus")), "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Where a row stands in the order in which the frame gives its rows (for small results)."""
+    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("pos", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
 # -- order, limit, sets ------------------------------------------------------------------
-_simple("sort_multi", "nation", lambda df: R.sort(df, C("n_regionkey").desc(), C("n_name").asc()).select("n_name", F.row_number().over(Window.orderBy(C("n_regionkey").desc(), C("n_name"))).alias("pos")), "SELECT n_name, CAST(row_number() OVER (ORDER BY n_regionkey DESC, n_name) AS INTEGER) AS pos FROM nation")
+_simple("sort_multi", "nation", lambda df: _placed(R.sort(df, C("n_regionkey").desc(), C("n_name").asc())).select("n_name", "pos"), "SELECT n_name, CAST(row_number() OVER (ORDER BY n_regionkey DESC, n_name) AS INTEGER) AS pos FROM nation")
 _simple("sort_total", "orders", lambda df: R.sort(df.select("o_orderkey", "o_totalprice"), C("o_totalprice").desc(), C("o_orderkey")), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
 _simple("top_k", "orders", lambda df: R.top_k(df, 25, C("o_totalprice").desc(), C("o_orderkey")).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 _simple("union_all", "orders", lambda df: R.union_all(df.filter("o_orderstatus = 'F'").select("o_orderkey"), df.filter("o_totalprice > 200000").select("o_orderkey")), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_totalprice > 200000")
@@ -221,10 +231,16 @@ def _(spark, d):
 
 
 # -- workloads ---------------------------------------------------------------------------
-@_reg("bdb_q1", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 10")
+@_reg("bdb_q1", "SELECT l_partkey, l_quantity FROM lineitem WHERE l_quantity > 10")
 def _(spark, d):
-    li = load(spark, d, "lineitem").select(C("l_orderkey"), C("l_partkey").alias("pageURL"), C("l_quantity").alias("pageRank"))
-    return li.filter(C("pageRank") > 10).select("l_orderkey", C("pageURL").alias("l_partkey"), C("pageRank").alias("l_quantity"))
+    li = load(spark, d, "lineitem").select(C("l_partkey").alias("pageURL"), C("l_quantity").alias("pageRank"))
+    return bdb.q1(li, 10).select(C("pageURL").alias("l_partkey"), C("pageRank").alias("l_quantity"))
+
+
+@_reg("bdb_probe", "SELECT r_name, r_regionkey, CAST(row_number() OVER (ORDER BY r_regionkey DESC) AS INTEGER) AS pos FROM region")
+def _(spark, d):
+    v = load(spark, d, "region").select((-C("r_regionkey")).alias("adRevenue"), C("r_name").alias("destURL"), C("r_regionkey").alias("sourceIP"))
+    return _placed(bdb.probe(v)).select(C("destURL").alias("r_name"), C("sourceIP").alias("r_regionkey"), "pos")
 
 
 @_reg("bdb_q2", "SELECT substring(o_orderpriority, 1, 8) AS source, round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY 1")
@@ -246,6 +262,13 @@ def _(spark, d):
     return tpch.q9(**t, word="widget").withColumn("sum_profit", F.round("sum_profit", 2))
 
 
+@_reg("tpch_q9_supply", "WITH ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, max(l_quantity) AS ps_supplycost FROM lineitem GROUP BY 1, 2) SELECT n_name AS nation, CAST(year(o_orderdate) AS INTEGER) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity), 4) AS sum_profit FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN ps ON ps_partkey = l_partkey AND ps_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey WHERE contains(p_name, 'widget') AND l_quantity > 5 GROUP BY 1, 2")
+def _(spark, d):
+    t = {n: load(spark, d, n) for n in ("part", "supplier", "lineitem", "orders", "nation")}
+    ps = t["lineitem"].groupBy(C("l_partkey").alias("ps_partkey"), C("l_suppkey").alias("ps_suppkey")).agg(F.max("l_quantity").alias("ps_supplycost"))
+    return tpch.q9(**t, word="widget", partsupp=ps, min_quantity=5).withColumn("sum_profit", F.round("sum_profit", 4))
+
+
 @_reg("pagerank_step", "WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), g AS (SELECT src, count(*) AS n FROM e GROUP BY 1) SELECT dst AS id, round(0.15 + 0.85 * sum(1.0::DOUBLE / n), 6) AS rank FROM e JOIN g USING (src) GROUP BY 1")
 def _(spark, d):
     e = load(spark, d, "lineitem").select(C("l_suppkey").alias("src"), C("l_partkey").alias("dst")).distinct()
@@ -290,3 +313,44 @@ def _(spark, d):
     n, c = policy.apply(load(spark, d, "nation")), policy.apply(load(spark, d, "customer"))
     out = n.join(c.filter("c_acctbal > 0"), C("n_nationkey") == C("c_nationkey")).select("n_name")
     return trace_frame(spark, out.sort("n_name").prepare_result()[1])
+
+
+@_reg("read_pipe", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def _(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    at = scratch_path(spark, "pipe")
+    o.write.option("sep", "|").csv(at)
+    return read_delimited(spark, at, o.schema, "|")
+
+
+@_reg("rows_in_memory", "SELECT * FROM (VALUES (1, 'a'), (2, NULL), (NULL, 'c')) t(k, s)")
+def _(spark, d):
+    return from_rows(spark, [(1, "a"), (2, None), (None, "c")], T.StructType.fromDDL("k int, s string"), partitions=2)
+
+
+# -- the service's endpoints, by their frames (whole results stay distributed) ---------------
+def _service(spark, d, path, **params):
+    registry = KeyRegistry(DEMO_KEY)
+    tables = {t: write_sealed(load(spark, d, t), scratch_path(spark, f"sealed-{t}"), DEMO_KEY, t) for t in ("nation", "customer")}
+    return QueryService(spark, registry, tables).frame(path, params | {"tk": registry.grant("reader", 1, 20)})
+
+
+for _name, _path, _params, _sql in (
+    ("filter", "/filter", {"t": "customer", "st": "c_acctbal > 5000 AND c_mktsegment IS NOT NULL"}, "SELECT * FROM customer WHERE c_acctbal > 5000 AND c_mktsegment IS NOT NULL"),
+    ("selector", "/selector", {"t": "customer", "st": "c_custkey, c_name"}, "SELECT c_custkey, c_name FROM customer"),
+    ("joiner", "/joiner", {"t1": "customer", "t2": "customer", "st": "c_custkey", "mode": "left_semi"}, "SELECT * FROM customer"),
+    ("aggregator", "/aggregator", {"t": "customer", "group_col": "c_mktsegment", "agg_col": "c_custkey", "func": "max"}, 'SELECT c_mktsegment, max(c_custkey) AS "max(c_custkey)" FROM customer GROUP BY 1'),
+    ("query", "/query", {"st": "WITH n AS (SELECT n_nationkey AS k, n_name FROM nation) SELECT n_name, count(*) AS m FROM customer JOIN n ON c_nationkey = k GROUP BY n_name"}, "SELECT n_name, count(*) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
+):
+    _reg(f"endpoint_{_name}", _sql)(lambda spark, d, path=_path, params=_params: _service(spark, d, path, **params).prepare_result()[0])
+
+
+@_reg("endpoint_sorter", "SELECT n_name, CAST(row_number() OVER (ORDER BY n_name DESC) AS INTEGER) AS pos FROM nation")
+def _(spark, d):
+    return _placed(_service(spark, d, "/sorter", t="nation", st="n_name", asc="False").prepare_result()[0]).select("n_name", "pos")
+
+
+@_reg("trace_sql", "SELECT * FROM (VALUES (0, 'scan', NULL::INTEGER, NULL::INTEGER), (1, 'scan', NULL, NULL), (2, 'join', 0, 1), (3, 'filter', 2, NULL), (4, 'project', 3, NULL), (5, 'result', 4, NULL)) t(node, op, left_input, right_input)")
+def _(spark, d):
+    frame = _service(spark, d, "/query", st="SELECT a.n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
+    return trace_frame(spark, frame.prepare_result()[1])

@@ -19,3 +19,8 @@ def q3(rankings: DataFrame, visits: DataFrame, lo, hi, by: str = "duration") ->
     v = visits.filter(F.col(by).between(lo, hi)).select("sourceIP", "destURL", "adRevenue")
     j = rankings.select("pageURL", "pageRank").join(v, F.col("pageURL") == F.col("destURL"))
     return j.select("sourceIP", "pageRank", "adRevenue").orderBy("pageRank")
+
+
+def probe(visits: DataFrame) -> DataFrame:
+    """Operator probe: three columns of the visits in the order of revenue."""
+    return visits.select("adRevenue", "destURL", "sourceIP").orderBy(F.col("adRevenue").asc())
