@@ -10,11 +10,12 @@ the close pairs among them; if 2048 tables don't reach it, that is an error.
 Every meeting is reranked with the original vectors, in double precision: no pair below
 the threshold is ever linked.
 
-Equal vectors of one label are one class with a count, so copies meet once.  Buckets are
-counted by a 64-bit key, and only rows with company fetch their vectors (four bytes a
-component where the column holds floats).  Inside a bucket links are found by blocks of
-bounded size; only counts and a spanning forest leave it, never all pairs.  A pair that
-meets in several tables counts in the first.
+Equal vectors of one label are one class with a count, so copies meet once.  The tables
+carry whole codes, not vectors: in a bucket, pairs whose codes are further apart than any
+probed pair at the threshold (and a sixteenth of the bits more) are dropped, and so are pairs
+that met in an earlier table.  Only rows with a pair left fetch their vectors, and only for
+that bucket.  Links are then found by blocks of bounded size; only counts and a spanning
+forest leave a bucket, never all pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
 a null label, or another dimension than the commonest, link with nothing; a repeated id is
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnhelm.llm.common import Scratch, binary_rows, components, mix64, partitions, saved, spread_join, units
+from tarnhelm.llm.common import Scratch, binary_rows, components, mix64, partitions, saved, slices, spread_join, units, whole_units
 from tarnhelm.llm.vectors import dimension, exact_scores, matrix, sample, usable
 
-FIT_ROWS, ROTATION_ROWS, RECALL, BLOCK = 20_000, 4_000, 0.9995, 2048
+FIT_ROWS, ROTATION_ROWS, RECALL, BLOCK, BROADCAST = 20_000, 4_000, 0.9995, 2048, 100_000
 
 
 def learn_rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = 30) -> np.ndarray:
@@ -65,6 +66,7 @@ class Codes:
         pick = rng.choice(len(i), min(len(i), 20_000), replace=False)
         pairs = [(probe, partner), (probe[i[pick]], probe[j[pick]])]
         met = [np.zeros(len(a), bool) for a, _ in pairs]
+        apart = [np.zeros(len(a), np.int64) for a, _ in pairs]
         maps, offsets = [], []
         while self.tables < most and any(m.mean() < recall for m in met if len(m)):
             # by turns around the mean, which balances the codes, and around the origin
@@ -74,19 +76,67 @@ class Codes:
                 m = r[:, t * bits : (t + 1) * bits]
                 maps.append(m)
                 offsets.append(middle @ m)
-                for seen, (p, q) in zip(met, pairs):
-                    seen |= ((p @ m >= offsets[-1]) == (q @ m >= offsets[-1])).all(1)
+                for seen, far, (p, q) in zip(met, apart, pairs):
+                    same = (p @ m >= offsets[-1]) == (q @ m >= offsets[-1])
+                    seen |= same.all(1)
+                    far += (~same).sum(1)
                 self.tables += 1
         self.map, self.offset = np.concatenate(maps, axis=1), np.concatenate(offsets)
         self.recall = min(float(m.mean()) for m in met if len(m))
+        self.bound = max(int(far.max(initial=0)) for far in apart) + self.tables * bits // 16
         if self.recall < recall:
             raise ValueError(f"{self.tables} tables of {bits} bits reach a recall of {self.recall:.5f}, not {recall}")
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """One substring a table, as numbers."""
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """All bits of each row, as 64-bit words."""
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        on = (u @ self.map >= self.offset).reshape(len(x), self.tables, self.bits)
-        return (on * (1 << np.arange(self.bits))).sum(2).astype(np.int32)
+        raw = np.packbits(u @ self.map >= self.offset, axis=1, bitorder="little")
+        out = np.zeros((len(x), -(-raw.shape[1] // 8) * 8), np.uint8)
+        out[:, : raw.shape[1]] = raw
+        return out.view("<u8")
+
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """One substring a table, as numbers."""
+        on = np.unpackbits(codes.view(np.uint8), axis=1, count=self.tables * self.bits, bitorder="little")
+        return (on.reshape(len(codes), self.tables, self.bits) * (1 << np.arange(self.bits))).sum(2).astype(np.int32)
+
+
+def _met_before(kx: np.ndarray, ky: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether rows of keys, pair by pair, agree in a table before t."""
+    return ((kx == ky) & (np.arange(kx.shape[1]) < t[:, None])).any(1)
+
+
+def _close_pairs(unit: np.ndarray, own: np.ndarray, alone: np.ndarray, code: np.ndarray, bound: int):
+    """Pairs of places (i, j) of sorted units whose codes are near enough, some thousands at a time.
+
+    Small units go together, by distance in the order; in a unit of two blocks only its halves meet.
+    """
+    start = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    length = np.diff([*start, len(unit)])
+    size = np.repeat(length, length)
+
+    def near(i, j):
+        for at in range(0, len(i), 32_768):
+            x, y = i[at : at + 32_768], j[at : at + 32_768]
+            ok = np.bitwise_count(code[x] ^ code[y]).sum(1) <= bound
+            if ok.any():
+                yield x[ok], y[ok]
+
+    place = np.flatnonzero(size <= 64)
+    for d in range(1, 64):
+        i, j = place[: max(0, len(place) - d)], place[d:]
+        same = unit[i] == unit[j]
+        if not same.any():
+            break
+        same &= alone[i] | (own[i] != own[j])
+        yield from near(i[same], j[same])
+    for a, n in zip(start.tolist(), length.tolist()):
+        if n > 64:
+            here = np.arange(a, a + n)
+            for at in range(0, n, 16):
+                x = here[at : at + 16]
+                i, j = np.nonzero((x[:, None] < here[None, :]) & (alone[a] | (own[x][:, None] != own[here][None, :])))
+                yield from near(x[i], here[j])
 
 
 def _links(x: np.ndarray, y: np.ndarray, kx: np.ndarray, ky: np.ndarray, table: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -149,41 +199,59 @@ def _linked(df: DataFrame, threshold: float, vec_id: str, vec: str, label: str |
     bits = int(min(max(6, math.ceil(math.log2(max(crowd, 2) / 16))), 24, max(1, dim)))
     codes = Codes(fitted, threshold, bits, recall)
     shared = spark.sparkContext.broadcast(codes)
-    tables, digits = codes.tables, np.dtype("<u2" if bits <= 16 else "<u4")
+    tables, words = codes.tables, codes.codes(fitted[:1]).shape[1]
+    flat = lambda a, n: binary_rows(a.ravel(), np.arange(n + 1) * a.shape[1])
+    coded = lambda col: np.frombuffer(b"".join(col.to_pylist()), "<u8").reshape(-1, words)
 
     def file(batches):
         for b in batches:
             if b.num_rows:
                 x = matrix(b.column(1))
-                flat = lambda a, each: binary_rows(a.ravel(), np.arange(len(x) + 1) * each)
-                yield pa.RecordBatch.from_arrays([b.column(0), flat(x.astype(width), dim), b.column(2), b.column(3), flat(shared.value.keys(x).astype(digits), tables)], names=["row", "v", "label", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0), flat(x.astype(width), len(x)), b.column(2), b.column(3), flat(shared.value.codes(x), len(x))], names=["row", "v", "label", "size", "code"])
 
     def spread(batches):
         for b in batches:
-            if b.num_rows:
-                keys = np.frombuffer(b"".join(b.column(2).to_pylist()), digits).astype(np.uint64)
-                t = np.tile(np.arange(tables, dtype=np.uint64), b.num_rows)
-                lab = np.repeat(b.column(1).to_numpy().view(np.uint64), tables)
-                bucket = mix64(mix64(lab + t * np.uint64(0x9E3779B97F4A7C15)) ^ keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), tables)), pa.array(t.astype(np.int16)), pa.array(bucket.view(np.int64))], names=["row", "t", "bucket"])
-
-    filed = scratch.saved(reps.select("row", "v", "label", "size").mapInArrow(file, "row bigint, v binary, label string, size bigint, keys binary"), "codes", "none")
-    spots = scratch.saved(filed.select("row", F.xxhash64("label").alias("lab"), "keys").mapInArrow(spread, "row bigint, t smallint, bucket bigint"), "spots")
-    sizes = scratch.saved(spots.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "buckets")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+            for part in slices(b):
+                n = part.num_rows
+                keys = shared.value.keys(coded(part.column(2))).astype(np.uint64)
+                t = np.arange(tables, dtype=np.uint64)
+                lab = part.column(1).to_numpy().view(np.uint64)
+                bucket = mix64(mix64(lab[:, None] + t * np.uint64(0x9E3779B97F4A7C15)) ^ keys)
+                every = pa.array(np.repeat(np.arange(n), tables))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(every), pa.array(np.tile(t.astype(np.int16), n)), pa.array(bucket.ravel().view(np.int64)), part.column(2).take(every)], names=["row", "t", "bucket", "code"])
+
+    filed = scratch.saved(reps.select("row", "v", "label", "size").mapInArrow(file, "row bigint, v binary, label string, size bigint, code binary"), "codes", "none")
+    spots = filed.select("row", F.xxhash64("label").alias("lab"), "code").mapInArrow(spread, "row bigint, t smallint, bucket bigint, code binary")
+    # buckets of more than one block; the table is broadcast while it is short
+    big = scratch.saved(spots.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    many = big.count()
+    placed = spots.join(F.broadcast(big) if many <= BROADCAST else big, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if many else spots.withColumn("blocks", F.lit(1))
     # a row goes to every pair of blocks that holds its own: (b, c) with b <= c
-    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    placed = spread_join(spots, sizes, "bucket", "n", total).withColumn("own", own)
-    duos = placed.select("row", "t", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    placed = duos.select("row", "t", F.xxhash64("bucket", F.least("own", "o"), F.greatest("own", "o")).alias("unit"), "own", (F.col("own") == F.col("o")).alias("alone"))
-    met = placed.join(filed, "row").repartition(n, "unit").sortWithinPartitions("unit", "own", "row")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("row", "t", "code", F.xxhash64("bucket", F.least("own", "o"), F.greatest("own", "o")).alias("unit"), "own", (F.col("own") == F.col("o")).alias("alone"))
+
+    def flag(batches):
+        """Rows with a pair left in their unit."""
+        for b in whole_units(batches):
+            unit, own, t = (b.column(c).to_numpy() for c in ("unit", "own", "t"))
+            code = coded(b.column("code"))
+            keys, mark = shared.value.keys(code), np.zeros(len(unit), bool)
+            for i, j in _close_pairs(unit, own, b.column("alone").to_numpy(zero_copy_only=False), code, shared.value.bound):
+                first = ~_met_before(keys[i], keys[j], t[i])
+                mark[i[first]] = mark[j[first]] = True
+            if mark.any():
+                yield b.select(["row", "t", "unit", "own", "alone"]).filter(pa.array(mark))
+
+    flagged = placed.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(flag, "row bigint, t smallint, unit bigint, own int, alone boolean")
+    flagged = scratch.saved(flagged, "flagged")
+    met = flagged.join(filed, "row").repartition(n, "unit").sortWithinPartitions("unit", "own", "row")
 
     def meet(batches):
         for u in units(batches):
             t, alone = u.column("t")[0].as_py(), u.column("alone")[0].as_py()
             row, own_b, size = (u.column(c).to_numpy() for c in ("row", "own", "size"))
             x = np.frombuffer(b"".join(u.column("v").to_pylist()), width).astype(np.float64).reshape(len(row), -1)
-            keys = np.frombuffer(b"".join(u.column("keys").to_pylist()), digits).reshape(len(row), -1)
+            keys = shared.value.keys(coded(u.column("code")))
             if alone:
                 i, j = _links(x, x, keys, keys, t, threshold, True)
             else:
