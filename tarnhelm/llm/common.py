@@ -25,6 +25,7 @@ def kept(owner: str) -> dict:
     """What a Python worker remembers between tasks for one operator; another operator's is let go first."""
     if _KEPT[0] != owner:
         _KEPT[:] = [owner, {}]
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except (OSError, AttributeError):

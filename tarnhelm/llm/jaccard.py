@@ -180,6 +180,7 @@ def _index(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
     """token, salt, node, size: every shingle of the extended prefix; a task indexes texts with the same words once."""
 
     def run(batches):
+        kept("index")
         order, seen = shared.value, set()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -282,6 +283,7 @@ def _verified(likely: DataFrame, docs: DataFrame, k: int, percent: int, scratch:
     """The pairs (a, b) whose whole sets are similar enough; texts move, which compress where digests don't."""
 
     def run(batches):
+        kept("verify")
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch in batches:
             keep = []
@@ -380,6 +382,7 @@ def _across(inside: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     met = rows.repartition(n, "unit").sortWithinPartitions("unit")
 
     def run(batches):
+        kept("across")
         for part in whole_units(batches):
             node, size, comp, unit = (part.column(c).to_numpy() for c in ("node", "size", "comp", "unit"))
             lesser, visits, small = (part.column(c).to_numpy(zero_copy_only=False) for c in ("lesser", "visits", "small"))
