@@ -9,8 +9,8 @@ entry really has decides its class.  A rare shingle's entry stays.  Frequent shi
 (FREQUENT documents or more) go back to their documents, are dealt into G groups by digest,
 and are indexed in pairs inside a group: of G + 1 shared ones two fall into one group.  So
 a common line brings documents together only with a second one.  G grows with the document
-(an eighth of p), which keeps pairs in proportion to the prefix at every length; documents
-near a step of G index for both sides of it.
+(half of p), which keeps pairs in proportion to the prefix at every length; documents near a
+step of G index for both sides of it, for the smaller G from the shorter prefix that it needs.
 
 Documents that meet are verified on their whole sets, in two rounds.  The first tries
 neighbours in the order of size within each index entry, and each entry's least document;
@@ -112,13 +112,13 @@ class Order:
         over = np.maximum(counts.astype(np.float64) - 2 * counts.mean(), 0)
         self.salts = np.minimum(1 + over // salt_rows, 65_535).astype(np.uint16)
 
-    def prefix(self, h: np.ndarray, m: int) -> np.ndarray:
-        """The first m of a set of digests."""
-        if m >= len(h):
-            return h
+    def prefix(self, h: np.ndarray, m: int, core: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first m of a set of digests, and which of them are among the first ``core``."""
         key = (self.level[h & _CELL].astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12))
-        edge = np.partition(key, m - 1)[m - 1]
-        return h[key <= edge]  # equal keys stay together, so every document cuts alike
+        if m < len(h):  # equal keys stay together, so every document cuts alike
+            keep = key <= np.partition(key, m - 1)[m - 1]
+            h, key = h[keep], key[keep]
+        return h, key <= np.partition(key, core - 1)[core - 1] if core < len(h) else np.ones(len(h), bool)
 
     def salts_of(self, tokens: np.ndarray) -> np.ndarray:
         return self.salts[tokens & _CELL].astype(np.uint64)
@@ -130,29 +130,32 @@ def _prefix_size(n: int, percent: int) -> int:
 
 
 def groups_of(n: int, percent: int) -> int:
-    """G for sets from the power of two at or below n on: an eighth of their prefix, less than what partners share."""
+    """G for sets from the power of two at or below n on: half of their prefix, less than what partners share."""
     least = 1 << (n.bit_length() - 1)
-    return max(1, min(_prefix_size(least, percent) // 8, -(-percent * least // 100) - 1))
+    return max(1, min(_prefix_size(least, percent) // 2, -(-percent * least // 100) - 1))
 
 
-def indexed_size(n: int, percent: int) -> int:
-    """The length of the extended prefix."""
-    return min(n, _prefix_size(n, percent) + groups_of(n, percent))
+def indexed_sizes(n: int, percent: int) -> tuple[int, int]:
+    """The lengths of the extended prefix, and of the one for the smallest G."""
+    p, small = _prefix_size(n, percent), groups_of(-(-percent * n // 100), percent)
+    return min(n, p + groups_of(n, percent)), min(n, p + small)
 
 
-def combined(tokens: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def combined(tokens: np.ndarray, core: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entry, first, second): what a document of n shingles indexes for its frequent ones.
 
     It pairs inside the groups of its own G and of those of smaller partners: two documents
-    meet by the G of the smaller one.  Sets so small that one shared shingle may be enough
-    index each shingle too (first = second).
+    meet by the G of the smaller one.  ``core`` marks the shingles that the smallest G needs.
+    Sets so small that one shared shingle may be enough index each shingle too (first = second).
     """
     one, two = [], []
     mixed = mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    for g in {groups_of(1 << j, percent) for j in range((-(-percent * n // 100)).bit_length() - 1, n.bit_length())}:
-        group = mixed % np.uint64(g)
-        order = np.lexsort((tokens, group))
-        t, group = tokens[order], group[order]
+    sizes = sorted({groups_of(1 << j, percent) for j in range((-(-percent * n // 100)).bit_length() - 1, n.bit_length())})
+    for g in sizes:
+        use = core if g == sizes[0] else slice(None)
+        group = mixed[use] % np.uint64(g)
+        order = np.lexsort((tokens[use], group))
+        t, group = tokens[use][order], group[order]
         for d in range(1, len(t)):
             same = group[d:] == group[:-d]
             if not same.any():
@@ -172,8 +175,8 @@ def _salt(node: np.ndarray, salts: np.ndarray) -> np.ndarray:
     return np.where(salts > 1, 1 + mix64(node.astype(np.int64).view(np.uint64)) % salts, 0).astype(np.int32)
 
 
-_ENTRY = "token bigint, salt int, node bigint, size bigint"
-_NAMES = ["token", "salt", "node", "size"]
+_ENTRY = "token bigint, salt int, node bigint, size bigint, core boolean"
+_NAMES = ["token", "salt", "node", "size", "core"]
 
 
 def _index(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
@@ -184,18 +187,18 @@ def _index(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
         order, seen = shared.value, set()
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, token, node, size, count = part.column(0).to_pylist(), [], [], [], []
+                ids, token, core, node, size, count = part.column(0).to_pylist(), [], [], [], [], []
                 sets, keys = sets_of(bytes_of(part.column(1)), k, keyed=True)
                 for i, h, key in zip(ids, sets, keys):
                     if i is None or key is None or key in seen:
                         continue
                     if len(seen) < 1_000_000:  # beyond that copies are indexed again, which changes nothing
                         seen.add(key)
-                    t = order.prefix(h, indexed_size(len(h), percent))
-                    token.append(t), node.append(i), size.append(len(h)), count.append(len(t))
+                    t, c = order.prefix(h, *indexed_sizes(len(h), percent))
+                    token.append(t), core.append(c), node.append(i), size.append(len(h)), count.append(len(t))
                 if token:
                     t, who = np.concatenate(token), np.repeat(np.array(node, np.int64), count)
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_salt(who, order.salts_of(t))), pa.array(who), pa.array(np.repeat(np.array(size, np.int64), count))], names=_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_salt(who, order.salts_of(t))), pa.array(who), pa.array(np.repeat(np.array(size, np.int64), count)), pa.array(np.concatenate(core))], names=_NAMES)
 
     return docs.mapInArrow(run, _ENTRY)
 
@@ -206,13 +209,14 @@ def _combinations(frequent: DataFrame, percent: int, shared) -> DataFrame:
     def run(batches):
         order = shared.value
         for batch in batches:
-            for node, size, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                t, a, b = combined(tokens.values.to_numpy().view(np.uint64), size, percent)
+            for node, size, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                tokens, core = some.values.field("token").to_numpy(), some.values.field("core").to_numpy(zero_copy_only=False)
+                t, a, b = combined(tokens.view(np.uint64), core, size, percent)
                 if len(t):
                     who = np.full(len(t), node, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_salt(who, np.minimum(order.salts_of(a), order.salts_of(b)))), pa.array(who), pa.array(np.full(len(t), size, np.int64))], names=_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_salt(who, np.minimum(order.salts_of(a), order.salts_of(b)))), pa.array(who), pa.array(np.full(len(t), size, np.int64)), pa.array(np.ones(len(t), bool))], names=_NAMES)
 
-    return frequent.groupBy("node", "size").agg(F.collect_list("token").alias("tokens")).mapInArrow(run, _ENTRY)
+    return frequent.groupBy("node", "size").agg(F.collect_list(F.struct("token", "core")).alias("tokens")).mapInArrow(run, _ENTRY)
 
 
 def _entered(rows: DataFrame, percent: int) -> DataFrame:
