@@ -107,8 +107,8 @@ class PolicyContext:
         """Put a frame under this policy."""
         return GovernedFrame(df, self, self.trace.add("scan"))
 
-    def scan(self, spark: SparkSession, path: str, table: str) -> GovernedFrame:
-        return self.apply(read_sealed(spark, path, self.key, table))
+    def scan(self, spark: SparkSession, path: str, table: str, columns: Sequence[str] | None = None) -> GovernedFrame:
+        return self.apply(read_sealed(spark, path, self.key, table, columns))
 
 
 @dataclass(frozen=True)
