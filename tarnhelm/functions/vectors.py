@@ -39,19 +39,25 @@ def vector_scale(v: Column | str, c: Column | float) -> Column:
 
 def squared_distance(a: Column | str, b: Column | str) -> Column:
     zero = F.lit(0.0)
-    sq = F.zip_with(_c(a), _c(b), lambda x, y: F.pow(F.coalesce(x, zero) - F.coalesce(y, zero), F.lit(2.0)))
-    return F.aggregate(sq, zero, lambda acc, x: acc + x)
+    diff = F.zip_with(_c(a), _c(b), lambda x, y: F.coalesce(x, zero) - F.coalesce(y, zero))
+    return F.aggregate(diff, zero, lambda acc, x: acc + x * x)
+
+
+def _table(centroids: Sequence[Sequence[float]]) -> Column:
+    return F.array(*[as_vector(c) for c in centroids])
 
 
 def closest_index(p: Column | str, centroids: Sequence[Sequence[float]]) -> Column:
-    """0-based index of the nearest centroid by squared L2."""
-    ranked = F.array(*[F.struct(squared_distance(p, as_vector(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids)])
+    """0-based index of the nearest centroid by squared L2.
+
+    The centroids are one literal that an expression walks, so the plan doesn't grow with their number.
+    """
+    ranked = F.transform(_table(centroids), lambda c, i: F.struct(squared_distance(p, c).alias("d"), i.alias("i")))
     return F.when(_c(p).isNotNull(), F.array_min(ranked)["i"])
 
 
 def closest_point(p: Column | str, centroids: Sequence[Sequence[float]]) -> Column:
-    table = F.array(*[as_vector(c) for c in centroids])
-    return F.when(_c(p).isNotNull(), F.get(table, closest_index(p, centroids)))
+    return F.when(_c(p).isNotNull(), F.get(_table(centroids), closest_index(p, centroids)))
 
 
 def vector_sum(df: DataFrame, keys: Sequence[str], col: str, alias: str, dim: int | None = None) -> DataFrame:
