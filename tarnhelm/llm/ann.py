@@ -1,7 +1,8 @@
 """Operator 3: nearest neighbours through a hierarchical k-means tree, best bin first.
 
 The tree is fitted on at most ``fit_rows`` vectors; every vector is filed under the leaf it
-falls into.  Inner products become distances by one more coordinate (what a vector's square
+falls into.  Leaves that are crowded by all rows are split further, each by a task on a sample
+of its own rows, so that leaves grow with the table until the tree takes ``tree_bytes``.  Inner products become distances by one more coordinate (what a vector's square
 lacks of the largest square), so the nearest are those of largest inner product.  A query
 goes through the tree with a priority queue of nodes by distance and visits the leaves in
 the order in which they come out.
@@ -12,7 +13,7 @@ share of true neighbours in visited leaves reaches ``recall``.
 
 Leaves with many rows are cut into blocks, and leaves with many visitors into chunks, so
 that a task's unit of work is bounded however the rows cluster.  The tables of block and
-chunk numbers have one entry a leaf, and leaves are bounded by ``fit_rows``.
+chunk numbers have one entry a leaf, and leaves are bounded by ``tree_bytes``.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
 take no part, nor do those of another dimension than the commonest; equal scores go to the
@@ -31,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnhelm.llm.common import Scratch, partitions, saved
+from tarnhelm.llm.common import Scratch, partitions, saved, units
 from tarnhelm.llm.vectors import dimension, exact_scores, matrix, sample, usable
 
 FIT_ROWS, CALIBRATE, RECALL = 20_000, 256, 0.95
 BLOCK, CHUNK = 4096, 1024
+#: Bytes of a tree's centers, which the driver holds and broadcasts.
+TREE_BYTES = 64 << 20
+#: Parts that a leaf is split into in one pass, passes, and sampled rows for each part.
+PARTS, PASSES, PART_ROWS = 1024, 3, 8
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -74,7 +79,21 @@ class Tree:
                 self.first.append(0)
                 self.count.append(0)
                 todo.append((self.first[node] + i, rows[at == i]))
-        self.centers = np.array(self.centers)
+        self.centers, self.grafts = np.array(self.centers), []
+        self.leaves = [i for i, n in enumerate(self.count) if not n]
+
+    def graft(self, leaf: int, first: np.ndarray, count: np.ndarray, centers: np.ndarray) -> None:
+        """Put the nodes of another tree below a leaf, which takes the place of its root; then call ``settle``."""
+        shift = len(self.first) - 1
+        first = np.where(count > 0, first + shift, 0)
+        self.first[leaf], self.count[leaf] = int(first[0]), int(count[0])
+        self.first += first[1:].tolist()
+        self.count += count[1:].tolist()
+        self.grafts.append(centers[1:])
+
+    def settle(self) -> None:
+        self.centers = np.concatenate([self.centers, *self.grafts])
+        self.grafts = []
         self.leaves = [i for i, n in enumerate(self.count) if not n]
 
     def assign(self, x: np.ndarray) -> np.ndarray:
@@ -184,15 +203,15 @@ def _with_last(batches):
         yield True, held
 
 
-def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding", leaf_size: int = 512, fit_rows: int = FIT_ROWS, calibrate: int = CALIBRATE, recall: float = RECALL, branching: int = 16) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding", leaf_size: int = 512, fit_rows: int = FIT_ROWS, calibrate: int = CALIBRATE, recall: float = RECALL, branching: int = 16, tree_bytes: int = TREE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of ``df`` found for each row of ``queries`` (default: all).
 
-    Leaves hold about ``leaf_size`` rows as long as the fitted rows allow (8 of them at least)."""
+    Leaves hold about ``leaf_size`` rows as long as ``tree_bytes`` allow; equal rows stay in one leaf."""
     with Scratch(df.sparkSession) as scratch:
-        return saved(_searched(df, queries, k, vec_id, vec, leaf_size, fit_rows, calibrate, recall, branching, scratch), "nearest")
+        return saved(_searched(df, queries, k, vec_id, vec, leaf_size, fit_rows, calibrate, recall, branching, tree_bytes, scratch), "nearest")
 
 
-def _searched(df: DataFrame, queries: DataFrame | None, k: int, vec_id: str, vec: str, leaf_size: int, fit_rows: int, calibrate: int, recall: float, branching: int, scratch: Scratch) -> DataFrame:
+def _searched(df: DataFrame, queries: DataFrame | None, k: int, vec_id: str, vec: str, leaf_size: int, fit_rows: int, calibrate: int, recall: float, branching: int, tree_bytes: int, scratch: Scratch) -> DataFrame:
     spark = df.sparkSession
     tidy = lambda x: x.filter(usable(F.col(vec)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     base, asked = tidy(df), tidy(df if queries is None else queries)
@@ -205,18 +224,16 @@ def _searched(df: DataFrame, queries: DataFrame | None, k: int, vec_id: str, vec
     square = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()["m"]
     share = len(fitted) / max(base.count(), 1)
     tree = Tree(_lift(fitted, square), max(8, round(leaf_size * share)), branching)
+    filed, rows_in = _filed(base, tree, square, scratch)
+    whole: set[int] = set()  # leaves that can't be split
+    for _ in range(PASSES):
+        if not _grown(tree, filed, rows_in, whole, square, leaf_size, branching, tree_bytes):
+            break
+        filed, rows_in = _filed(base, tree, square, scratch)
     shared = spark.sparkContext.broadcast(tree)
-
-    def file(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.assign(_lift(matrix(b.column(1)), square)), pa.int64())], names=["id", "v", "leaf"])
-
-    filed = scratch.saved(base.mapInArrow(file, "id bigint, v array<double>, leaf bigint"), "filed")
     visits = _calibrated(filed, asked, tree, k, calibrate, recall)
 
     # work units: a block of a leaf's rows by a chunk of its visitors
-    rows_in = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}
     # an id counts in one leaf only, so that leaves hold no fewer distinct ids than the sum; one may be the query's own
     ids_in = {r["leaf"]: r["count"] for r in filed.groupBy("id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect()}
 
@@ -267,6 +284,64 @@ def _searched(df: DataFrame, queries: DataFrame | None, k: int, vec_id: str, vec
     return found.repartition(n, "query_id").sortWithinPartitions("query_id").mapInArrow(lambda batches: _merged(batches, k), "query_id bigint, rank int, vec_id bigint, score double")
 
 
+def _filed(base: DataFrame, tree: Tree, square: float, scratch: Scratch) -> tuple[DataFrame, dict[int, int]]:
+    """id, v, leaf of every row, and each leaf's number of rows."""
+    shared = base.sparkSession.sparkContext.broadcast(tree)
+
+    def file(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.assign(_lift(matrix(b.column(1)), square)), pa.int64())], names=["id", "v", "leaf"])
+
+    filed = scratch.saved(base.mapInArrow(file, "id bigint, v array<double>, leaf bigint"), "filed")
+    return filed, {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}
+
+
+def _grown(tree: Tree, filed: DataFrame, rows_in: dict[int, int], whole: set[int], square: float, leaf_size: int, branching: int, tree_bytes: int) -> bool:
+    """Split leaves with more than twice ``leaf_size`` rows, each on a sample of its rows; whether any was split.
+
+    A sample has PARTS * PART_ROWS rows or so however large its leaf is, and the new nodes fit into what is left of ``tree_bytes``.
+    """
+    spark = filed.sparkSession
+    wanted = {leaf: min(PARTS, -(-n // leaf_size)) for leaf, n in rows_in.items() if n > 2 * leaf_size and leaf not in whole}
+    # inner nodes: a tenth more than leaves or so; a leaf is split in two at least, or not
+    room = max(0, tree_bytes // (8 * tree.centers.shape[1]) - len(tree.centers)) // 2
+    if not wanted or room < 2:
+        return False
+    scale = min(1.0, room / sum(wanted.values()))
+    parts, used = {}, 0
+    for leaf in sorted(wanted, key=lambda x: (-rows_in[x], x)):
+        m = max(2, int(wanted[leaf] * scale))
+        if used + m > room:
+            break
+        parts[leaf], used = m, used + m
+    table = F.broadcast(spark.createDataFrame([(leaf, m, min(1.0, m * PART_ROWS / rows_in[leaf])) for leaf, m in parts.items()], "leaf bigint, parts bigint, rate double"))
+    drawn = filed.join(table, "leaf").filter(F.rand(11) < F.col("rate")).select("leaf", "parts", "id", "v")
+
+    def fit(batches):
+        for unit in units(batches, "leaf"):
+            x = _lift(matrix(unit.column(3)), square)
+            sub = Tree(x, max(2, len(x) // unit.column(1)[0].as_py()), branching)
+            n = len(sub.first)
+            flat = pa.array(sub.centers.ravel())
+            centers = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array([unit.column(0)[0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(sub.first, pa.int64()), pa.array(sub.count, pa.int64()), centers], names=["leaf", "node", "first", "count", "center"])
+
+    fits = drawn.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "id", "v").mapInArrow(fit, "leaf bigint, node bigint, first bigint, count bigint, center array<double>")
+    nodes = fits.orderBy("leaf", "node").toArrow().combine_chunks()  # bounded by ``room``
+    leaf, first, count = (nodes.column(c).to_numpy() for c in ("leaf", "first", "count"))
+    centers = matrix(nodes.column("center").combine_chunks()) if len(leaf) else np.zeros((0, tree.centers.shape[1]))
+    starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if len(leaf) else np.zeros(0, np.int64)
+    split = set()
+    for a, z in zip(starts, [*starts[1:], len(leaf)]):
+        if z - a > 1:
+            tree.graft(int(leaf[a]), first[a:z], count[a:z], centers[a:z])
+            split.add(int(leaf[a]))
+    whole.update(parts.keys() - split)
+    tree.settle()
+    return bool(split)
+
+
 def _units(batches) -> Iterator[pa.RecordBatch]:
     """Sorted batches cut where leaf, block or chunk changes; a unit is bounded by BLOCK and CHUNK (about)."""
     rest: pa.RecordBatch | None = None
