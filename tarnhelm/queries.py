@@ -140,7 +140,16 @@ for _f, _agg, _sql in (
     _simple(f"agg_{_f}", "lineitem", lambda df, a=_agg: R.aggregate(df, ["l_returnflag", "l_linestatus"], a().alias("v")), f"SELECT l_returnflag, l_linestatus, {_sql} AS v FROM lineitem GROUP BY ALL")
 _simple("agg_first", "events", lambda df: R.aggregate(df, ["user_id"], F.min_by("event_type", "event_id").alias("v")), "SELECT user_id, arg_min(event_type, event_id) AS v FROM events GROUP BY user_id")
 _simple("agg_last", "events", lambda df: R.aggregate(df, ["user_id"], F.max_by("event_type", "event_id").alias("v")), "SELECT user_id, arg_max(event_type, event_id) AS v FROM events GROUP BY user_id")
-_simple("agg_first_any", "orders", lambda df: R.aggregate(df.select("o_orderstatus", F.substring("o_orderstatus", 1, 1).alias("s")), ["o_orderstatus"], F.first("s").alias("f"), F.last("s").alias("l")), "SELECT o_orderstatus, o_orderstatus AS f, o_orderstatus AS l FROM orders GROUP BY 1")
+
+
+@_reg("agg_first_any", "SELECT o_orderkey, max(o_custkey) AS f, max(o_orderstatus) AS l, max(CASE WHEN l_linenumber > 1 THEN o_custkey END) AS some FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def _(spark, d):
+    """First and last of what an order has in all of its rows, and the first that isn't null."""
+    j = R.join(load(spark, d, "orders"), load(spark, d, "lineitem"), C("o_orderkey") == C("l_orderkey"))
+    later = F.when(C("l_linenumber") > 1, C("o_custkey"))
+    return R.aggregate(j, ["o_orderkey"], F.first("o_custkey").alias("f"), F.last("o_orderstatus").alias("l"), F.first(later, ignorenulls=True).alias("some"))
+
+
 _simple("agg_global", "lineitem", lambda df: R.aggregate(df, [], F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"), F.max("l_shipdate").cast("string").alias("d")), "SELECT count(*) AS n, round(sum(l_quantity), 2) AS q, CAST(max(l_shipdate) AS VARCHAR) AS d FROM lineitem")
 _simple("agg_global_empty", "lineitem", lambda df: R.aggregate(df.filter("l_quantity < 0"), [], F.count("*").alias("n"), F.sum("l_quantity").alias("q")), "SELECT count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_quantity < 0")
 _simple("agg_having", "lineitem", lambda df: R.aggregate(df, ["l_suppkey"], F.count("*").alias("n"), having=C("n") > 600), "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 600")
