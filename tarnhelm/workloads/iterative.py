@@ -16,22 +16,35 @@ from tarnhelm.functions.vectors import as_vector, closest_index, dot
 from tarnhelm.session import shared_dir
 
 
+def out_links(edges: DataFrame) -> DataFrame:
+    """src, dst and the number of edges that leave src; degrees combine before they move."""
+    return edges.join(edges.groupBy("src").agg(F.count("*").alias("degree")), "src").select("src", "dst", "degree")
+
+
+def _spread(links: DataFrame, ranks: DataFrame, damping: float) -> DataFrame:
+    share = links.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("s"))
+    return share.select(F.col("dst").alias("id"), (F.lit(1 - damping) + damping * F.col("s")).alias("rank"))
+
+
 def pagerank_step(edges: DataFrame, ranks: DataFrame, damping: float = 0.85) -> DataFrame:
     """edges(src, dst), ranks(id, rank) -> ranks of the nodes that are pointed at."""
-    out_degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    weight = ranks.join(out_degree, F.col("id") == F.col("src")).select("src", (F.col("rank") / F.col("degree")).alias("share"))
-    return edges.join(weight, "src").groupBy("dst").agg(F.sum("share").alias("s")).select(F.col("dst").alias("id"), (F.lit(1 - damping) + damping * F.col("s")).alias("rank"))
+    return _spread(out_links(edges), ranks, damping)
 
 
 def pagerank(edges: DataFrame, steps: int = 5, damping: float = 0.85) -> DataFrame:
-    """Lineage is cut after each step by a checkpoint in the shared folder."""
+    """Degrees are counted once; lineage is cut after each step by a checkpoint in the shared folder."""
     shared_dir(edges.sparkSession)
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    ranks = nodes.withColumn("rank", F.lit(1.0))
-    for _ in range(steps):
-        new = pagerank_step(edges, ranks, damping)
-        ranks = nodes.join(new, "id", "left").select("id", F.coalesce("rank", F.lit(1 - damping)).alias("rank")).checkpoint()
-    return ranks
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().persist()
+    links = out_links(edges).persist()
+    try:
+        ranks = nodes.withColumn("rank", F.lit(1.0))
+        for _ in range(steps):
+            new = _spread(links, ranks, damping)
+            ranks = nodes.join(new, "id", "left").select("id", F.coalesce("rank", F.lit(1 - damping)).alias("rank")).checkpoint()
+        return ranks
+    finally:
+        links.unpersist()
+        nodes.unpersist()
 
 
 def kmeans_step(points: DataFrame, col: str, centroids: Sequence[Sequence[float]]) -> DataFrame:
